@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES = ("op2_bpe", "op5_token_store")
+_QUERIES = ("op2_bpe", "op5_token_store", "op8_pii")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
