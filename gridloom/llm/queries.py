@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES = ("op2_bpe", "op5_token_store", "op7_lines", "op8_pii")
+_QUERIES = ("op2_bpe", "op5_token_store", "op7_lines", "op8_pii", "op9_quality", "op10_decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
