@@ -42,7 +42,11 @@ ADDRESS = 16
 
 class _Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so words between ASCII
-    white space are encoded once each and kept (a bounded cache)."""
+    white space are encoded once each and kept (bounded caches). A word of ASCII or Latin-1 letters with signs
+    after it is two of the tokenizer's pieces, the lower-case letters and the signs: such letters, kept by
+    themselves, are encoded many at a time, told apart by the mark every piece's last token bears."""
+
+    SIGNS = ".,;:!?"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,16 +55,50 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("the store keeps ids in 16 bits")
+        self.ends = np.zeros(65536, dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {"": b""}
+
+    def _one_by_one(self, new: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        known, letters, cores, rest = self.known, self.letters, [], []
+        for w in new:
+            core = w.rstrip(self.SIGNS)
+            if core.isalpha() and (core.isascii() or max(core) <= "\u00ff" and not set(core) & {"\u00aa", "\u00b5", "\u00ba"}):
+                cores.append((w, core.lower(), w[len(core) :]))
+            else:
+                rest.append(w)
+        for signs in {x[2] for x in cores} - letters.keys():
+            letters[signs] = self._one_by_one([signs])[0]
+        fresh = list({x[1] for x in cores} - letters.keys())
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint16)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                raw, lo = ids.tobytes(), 0
+                for w, hi in zip(part, (2 * ends).tolist(), strict=True):
+                    letters[w] = raw[lo:hi]
+                    lo = hi
+            else:  # a vocabulary without such marks
+                letters.update(zip(part, self._one_by_one(part), strict=True))
+        for w, core, signs in cores:
+            known[w] = letters[core] + letters[signs]
+        known.update(zip(rest, self._one_by_one(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > WORD_CACHE:
             self.known = {"": b""}
+        if len(self.letters) > WORD_CACHE:
+            self.letters = {"": b""}
         known = self.known
-        new = list({w for x in words for w in x} - known.keys())
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = array("H", e.ids).tobytes()
+        new = set().union(*words) - known.keys()
+        if new:
+            self._learn(new)
         end = array("H", [END_ID]).tobytes()
         return [np.frombuffer(b"".join(map(known.__getitem__, x)) + end, dtype=np.uint16) for x in words]
 
@@ -70,18 +108,38 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream."""
-    mixed = _mix((ids.astype(np.uint64) + np.uint64(1)) * _LANE[20])
-    rolling = np.zeros(len(ids), dtype=np.uint64)
-    for back in range(8):
-        rolling[back:] += mixed[: max(0, len(ids) - back)] * _LANE[21 + back]
-    cuts = np.flatnonzero((rolling >> np.uint64(40)) & CUT_MASK == 0) + 1
-    ends = np.unique(np.append(cuts, len(ids)))
-    starts = np.concatenate([[0], ends[:-1]])
-    if (ends - starts).max(initial=0) > MAX_CHUNK:
-        ends = np.concatenate([np.append(np.arange(a + MAX_CHUNK, b, MAX_CHUNK), b) for a, b in zip(starts, ends, strict=True)])
-    return ends
+@lru_cache(maxsize=1)
+def _id_values() -> np.ndarray:
+    return _mix((np.arange(65536, dtype=np.uint64) + np.uint64(1)) * _LANE[20])
+
+
+def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each id stream. No cut falls within a stream's first 7 ids, so the 8 ids a cut looks
+    at are always the stream's own."""
+    size = np.array([len(s) for s in streams], dtype=np.int64)
+    ids = np.concatenate(streams) if streams else np.zeros(0, dtype=np.uint16)
+    mixed = _id_values()[ids]
+    rolling = mixed * _LANE[21]
+    for back in range(1, min(8, len(ids))):
+        rolling[back:] += mixed[:-back] * _LANE[21 + back]
+    at = np.flatnonzero((rolling >> np.uint64(40)) & CUT_MASK == 0) + 1
+    last = np.cumsum(size)
+    of = np.searchsorted(last, at - 1, side="right")
+    inner = at - (last[of] - size[of]) if len(at) else at
+    keep = (inner >= 8) & (inner < size[of]) if len(at) else at.astype(bool)
+    of, inner = of[keep], inner[keep]
+    border = np.searchsorted(of, np.arange(len(streams) + 1))
+    out = []
+    for i, n in enumerate(size.tolist()):
+        ends, lo = [], 0
+        for hi in [*inner[border[i] : border[i + 1]].tolist(), n]:
+            while hi - lo > MAX_CHUNK:
+                lo += MAX_CHUNK
+                ends.append(lo)
+            ends.append(hi)
+            lo = hi
+        out.append(ends)
+    return out
 
 
 _RAW = "kind int, bucket int, doc_id long, n_tokens long, addresses binary, payload binary"
@@ -91,12 +149,12 @@ def _encode_rows(tokenizer_path: str):
     def run(batches):
         coder, press, sent = _encoder(tokenizer_path), zstandard.ZstdCompressor(level=1), set()
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+            for at in range(0, b.num_rows, 800):
+                part = b.slice(at, 800)
+                rows, streams = [], coder.encode(part.column("text").to_pylist())
+                for doc_id, ids, cuts in zip(part.column("doc_id").to_pylist(), streams, cut_points(streams), strict=True):
                     lo, addresses = 0, []
-                    for hi in cut_points(ids):
+                    for hi in cuts:
                         raw = ids[lo:hi].tobytes()
                         address = hashlib.blake2b(raw, digest_size=ADDRESS).digest()
                         addresses.append(address)
