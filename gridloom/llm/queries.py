@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES = ("op1_embeddings", "op2_bpe", "op3_licenses", "op4_jaccard", "op5_token_store", "op7_lines", "op8_pii", "op9_quality", "op10_decontaminate")
+_QUERIES = ("op1_embeddings", "op2_bpe", "op3_licenses", "op4_jaccard", "op5_token_store", "op6_substrings", "op7_lines", "op8_pii", "op9_quality", "op10_decontaminate")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
