@@ -6,11 +6,13 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
    block of a task's rows; such local counts are summed over all data, so the list covers everything and its length is
    bounded by HOT_PART times the mean set size. The list only moves work; any order is exact.
 2. (shingle, class) pairs of the prefixes meet by shingle, packed into binary blobs; those alone at a shingle go.
-3. Count vectors: hashing shingles into GROUPS groups makes each class a point of group counts. For two sets the
-   overlap is at most the sum of coordinate minima, and they link only if that reaches 3/7 of the sum of their sizes.
+3. Count vectors: hashing shingles into groups makes each class a point of group counts. For two sets the overlap is
+   at most the sum of coordinate minima, and they link only if that reaches 3/7 of the sum of their sizes. A set of n
+   has between n/4 and n/2 groups (64 at least), so that counts fit in 4 bits and the bound stays tight at every size;
+   the number is a power of two, and points of different sizes compare after the longer one is folded.
 4. First round: within each shingle's bucket, neighbours in size order become candidates; their bound is checked, then
    their sets; links merge classes into components, so that a group of near copies costs a chain, not all its pairs.
-5. Second round: buckets that still hold several components get an R-tree: points sorted by size and packed into
+5. Second round: buckets that still hold several components of fitting sizes get an R-tree: points sorted by size and packed into
    leaves with bounding boxes; boxes, then points, are paired if the bound of minima allows it and if their components
    differ. Survivors are verified with their whole sets. Links inside a component can't change it, so none is lost.
 
@@ -25,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, dealt, join_checked, map_arrow, sequence_hash, set_hash, signed, table, text_chunks, text_only
+from gridloom.llm.common import Words, dealt, join_checked, map_arrow, release, sequence_hash, set_hash, signed, table, text_chunks, text_only
 from gridloom.llm.components import connected_components
 
-K, GROUPS, LEAF = 5, 64, 32
+K, LEAST_GROUPS, LEAF = 5, 64, 32
 HOT_PART = 1000
 #: Packed pairs: shingle, class.
 PAIR = np.dtype([("key", "<u8"), ("id", "<u8")])
@@ -69,6 +71,30 @@ def _survey(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
+def point(s: np.ndarray) -> bytes:
+    """The count vector of a set, two counts a byte."""
+    groups = LEAST_GROUPS
+    while groups * 4 < len(s):
+        groups *= 2
+    while (counts := np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)).max() > 15:
+        groups *= 2
+    counts = counts.astype(np.uint8)
+    return (counts[: groups // 2] | counts[groups // 2 :] << 4).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    packed = np.frombuffer(blob, dtype=np.uint8)
+    return np.concatenate([packed & 15, packed >> 4]).astype(np.int32)
+
+
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (last axis) over fewer groups: counts of groups that become one add up."""
+    while points.shape[-1] > groups:
+        half = points.shape[-1] // 2
+        points = points[..., :half] + points[..., half:]
+    return points
+
+
 def prefix_size(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
@@ -90,11 +116,10 @@ def _prefixes(hot, buckets: int):
                     late = often[at] == s
                 keys.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s))])
                 owners.append(np.full(len(keys[-1]), h, dtype=np.uint64))
-                counts = np.bincount((s >> np.uint64(7)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
-                classes.append((h, len(s), counts.astype("<u4").tobytes()))
+                classes.append((h, len(s), point(s)))
             ids = signed(np.array([c[0] for c in classes], dtype=np.uint64))
             n = len(classes)
-            yield _batch([0] * n, [None] * n, ids, [c[1] for c in classes], [c[2] for c in classes])
+            yield _batch([0] * n, np.arange(n) % buckets, ids, [c[1] for c in classes], [c[2] for c in classes])
             if not n:
                 continue
             pairs = np.empty(sum(map(len, keys)), dtype=PAIR)
@@ -118,19 +143,32 @@ _ROW = "kind int, bucket int, id long, n long, blob binary"
 
 
 def _shared(batches):
-    """Packed pairs of whole buckets -> the (shingle, class) pairs whose shingle has several classes."""
+    """Packed pairs of whole buckets -> kind 1, the (shingle, class) pairs whose shingle has several classes. Kind 0 passes."""
     parts: dict[int, list[bytes]] = {}
     for b in batches:
-        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist(), strict=True):
+        kind = b.column("kind").to_numpy()
+        own = b.filter(pa.array(kind == 0))
+        yield pa.RecordBatch.from_arrays([own.column("kind"), pa.array([None] * len(own), pa.int64()), *(own.column(c) for c in ("id", "n", "blob"))], names=["kind", "key", "id", "n", "blob"])
+        blobs = b.filter(pa.array(kind == 1))
+        for k, blob in zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
             parts.setdefault(k, []).append(blob)
     for k in sorted(parts):
-        pairs = np.unique(np.frombuffer(b"".join(parts.pop(k)), dtype=PAIR))
-        new = np.append(True, pairs["key"][1:] != pairs["key"][:-1])
-        group = np.cumsum(new) - 1
-        pairs = pairs[np.bincount(group)[group] > 1]
-        for at in range(0, len(pairs), 100_000):
-            part = pairs[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(part["key"].copy())), pa.array(signed(part["id"].copy()))], names=["key", "id"])
+        pairs = np.frombuffer(b"".join(parts.pop(k)), dtype=PAIR)
+        key, ids = pairs["key"].copy(), pairs["id"].copy()
+        order = np.argsort(key, kind="stable")
+        group = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])) - 1
+        several = np.bincount(group)[group] > 1
+        key, ids = key[order][several], ids[order][several]
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]
+        key, ids = key[new], ids[new]
+        group = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
+        several = np.bincount(group)[group] > 1 if len(key) else np.zeros(0, dtype=bool)
+        key, ids = signed(key[several]), signed(ids[several])
+        for at in range(0, len(key), 100_000):
+            m = len(key[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(key[at : at + m]), pa.array(ids[at : at + m]), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.binary())], names=["kind", "key", "id", "n", "blob"])
 
 
 def _slices(batches, key: str):
@@ -161,24 +199,49 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pairs[:, 0], pairs[:, 1])), pa.array(np.maximum(pairs[:, 0], pairs[:, 1]))], names=["a", "b"])
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray):
+def _fitting(batches):
+    """The rows with another component of a fitting size in their bucket."""
+    for t in _slices(batches, "key"):
+        key, n, comp = (t.column(c).to_numpy() for c in ("key", "n", "comp"))
+        order = np.lexsort((n, key))
+        keep = np.zeros(len(t), dtype=bool)
+        key, n, comp = key[order], n[order], comp[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
+            size, of = n[lo:hi], comp[lo:hi]
+            first = np.searchsorted(100 * size, 75 * size, "left")
+            last = np.searchsorted(75 * size, 100 * size, "right")
+            change = np.append(0, np.cumsum(np.append(False, of[1:] != of[:-1])))  # changes before each row
+            keep[lo:hi] = change[last] > change[first + 1]
+        yield from t.take(pa.array(order[keep])).select(["key", "id", "n", "comp"]).to_batches()
+
+
+def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray):
     """Index pairs of different components whose sum of coordinate minima allows a link, by a packed R-tree.
 
-    Points in size order fill leaves of LEAF; a leaf's box keeps its greatest coordinates and its least and greatest
-    size. The sum of minima of two boxes' upper corners bounds every pair below them."""
-    order = np.lexsort((points.argmax(axis=1), sizes))
-    leaves = [order[at : at + LEAF] for at in range(0, len(order), LEAF)]
-    upper = np.array([points[x].max(axis=0) for x in leaves])
-    least, most = np.array([sizes[x].min() for x in leaves]), np.array([sizes[x].max() for x in leaves])
-    for i, own in enumerate(leaves):
-        others = np.arange(i, len(leaves))
-        others = others[100 * most[i] >= 75 * least[others]]
-        others = others[7 * np.minimum(upper[others], upper[i]).sum(axis=1) >= 3 * (least[others] + least[i])]
-        for j in others:
-            far = leaves[j]
-            size = sizes[own][:, None] + sizes[far]
-            may = (comp[own][:, None] != comp[far]) & (7 * np.minimum(points[own][:, None], points[far]).sum(axis=2) >= 3 * size)
-            x, y = np.nonzero(may)
+    Points in size order fill leaves of at most LEAF with one number of groups each; a leaf's box keeps its greatest
+    coordinates and its least and greatest size. The sum of minima of two boxes' upper corners bounds all pairs below."""
+    groups = np.array([len(p) for p in points])
+    order = np.lexsort((sizes, groups))
+    leaves, tops, least, most = [], [], [], []
+    for g in np.unique(groups):
+        own = order[groups[order] == g]
+        for at in range(0, len(own), LEAF):
+            leaf = own[at : at + LEAF]
+            leaves.append((leaf, np.array([points[x] for x in leaf])))
+            tops.append(leaves[-1][1].max(axis=0))
+            least.append(sizes[leaf].min())
+            most.append(sizes[leaf].max())
+    for i, (own, mine) in enumerate(leaves):
+        for j in range(i, len(leaves)):
+            if 100 * most[i] < 75 * least[j] or 100 * most[j] < 75 * least[i]:
+                continue
+            far, theirs = leaves[j]
+            g = min(mine.shape[1], theirs.shape[1])
+            if 7 * np.minimum(fold(tops[i], g), fold(tops[j], g)).sum() < 3 * (least[i] + least[j]):
+                continue
+            overlap = np.minimum(fold(mine, g)[:, None], fold(theirs, g)).sum(axis=2)
+            x, y = np.nonzero((comp[own][:, None] != comp[far]) & (7 * overlap >= 3 * (sizes[own][:, None] + sizes[far])))
             if i == j:
                 x, y = x[x < y], y[x < y]
             if len(x):
@@ -188,7 +251,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, comp: np.ndarray):
 def _searched(batches):
     for t in _slices(batches, "key"):
         key, ids, n, comp = (t.column(c).to_numpy() for c in ("key", "id", "n", "comp"))
-        points = np.frombuffer(b"".join(t.column("blob").to_pylist()), dtype="<u4").reshape(len(t), GROUPS).astype(np.int64)
+        points = [unpacked(x) for x in t.column("blob").to_pylist()]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         out: list[np.ndarray] = []
         for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
@@ -207,9 +270,12 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("va", "vb"))
-            ok = 7 * np.minimum(va, vb).sum(axis=1) >= 3 * (b.column("na").to_numpy() + b.column("nb").to_numpy())
-            yield b.select(["a", "b"]).filter(pa.array(ok))
+            ok = []
+            for x, y, size in zip(b.column("va").to_pylist(), b.column("vb").to_pylist(), b.column("na").to_numpy() + b.column("nb").to_numpy(), strict=True):
+                x, y = unpacked(x), unpacked(y)
+                g = min(len(x), len(y))
+                ok.append(7 * int(np.minimum(fold(x, g), fold(y, g)).sum()) >= 3 * int(size))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return map_arrow(both.select("a", "b", "na", "nb", "va", "vb"), run, "a long, b long")
 
@@ -230,8 +296,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFram
     return table(map_arrow(texts, run, "id long, shingles binary").dropDuplicates(["id"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by their whole sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs that link, by the whole sets of their classes."""
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = _sets_of(docs, ends, members)
     side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
 
     def run(batches):
@@ -257,21 +325,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = members.where("n > 0").count()
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= max(8, total / HOT_PART)).select("a")
     hot = np.sort(np.array([r.a for r in often.collect()], dtype=np.int64).view(np.uint64))  # bounded, see above
-    spread = table(map_arrow(texts, _prefixes(spark.sparkContext.broadcast(hot), parts), _ROW), "kind")
+    spread = map_arrow(texts, _prefixes(spark.sparkContext.broadcast(hot), parts), _ROW)
+    spread = table(map_arrow(dealt(spread, "bucket"), _shared, "kind int, key long, id long, n long, blob binary"), "kind")
+    release(spark)
     classes = table(spread.where("kind = 0").groupBy("id").agg(F.min("n").alias("n"), F.min("blob").alias("blob")))
-    shared = table(map_arrow(dealt(spread.where("kind = 1").select("bucket", "blob"), "bucket"), _shared, "key long, id long"))
-    sized = shared.join(classes.select("id", "n"), "id")
+    shared = spread.where("kind = 1").select("key", "id")
+    sized = table(shared.join(classes.select("id", "n"), "id"))
     near = map_arrow(sized.repartition(parts, "key").sortWithinPartitions("key"), _neighbours, "a long, b long")
     first_round = table(_bounded(near, classes))
-    sets = _sets_of(docs, shared.select("id").distinct(), members)
-    links = _verified(first_round, sets)
+    release(spark)
+    links = _verified(docs, first_round, members)
     comp = connected_components(links, "a", "b")
-    labelled = shared.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = table(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    left = join_checked(labelled, mixed, "key", "left_semi").join(classes, "id").select("key", "id", "n", "comp", "blob")
+    release(spark)
+    labelled = sized.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    fitting = table(map_arrow(labelled.repartition(parts, "key").sortWithinPartitions("key"), _fitting, "key long, id long, n long, comp long"))
+    left = fitting.join(classes.select("id", "blob"), "id").select("key", "id", "n", "comp", "blob")
     across = map_arrow(left.repartition(parts, "key").sortWithinPartitions("key"), _searched, "a long, b long")
-    more = _verified(table(across.distinct()), sets)
+    across = table(across.distinct())
+    release(spark)
+    more = _verified(docs, across, members)
     comp = connected_components(links.unionByName(more), "a", "b")
+    release(spark)
     # classes -> documents
     named = members.where("n > 0").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
