@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _LANE, _mix, dealt, map_arrow, shared_dir, text_only
+from gridloom.llm.common import _LANE, Words, _mix, dealt, map_arrow, shared_dir, text_chunks, text_only
 
 END_ID = 2
 CUT_MASK = np.uint64(511)
 MAX_CHUNK = 8192
-WORD_CACHE = 600_000
+WORD_CACHE = 800_000
+ENCODE_BYTES = 2 << 20
+SENT = 200_000
 ADDRESS = 16
 
 
 class _Encoder:
     """Ids of whole texts. The tokenizer drops white space and never joins across it, so words between ASCII
-    white space are encoded once each and kept (bounded caches). A word of ASCII or Latin-1 letters with signs
+    white space are encoded once each and kept by a 64-bit hash of their bytes (a bounded table). A word of ASCII or Latin-1 letters with signs
     after it is two of the tokenizer's pieces, the lower-case letters and the signs: such letters, kept by
     themselves, are encoded many at a time, told apart by the mark every piece's last token bears."""
 
@@ -57,20 +60,29 @@ class _Encoder:
             raise ValueError("the store keeps ids in 16 bits")
         self.ends = np.zeros(65536, dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
         self.letters: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table of known words: word hash -> place, with each place's ids in one arena. Place 0 is the end id."""
+        self.place: dict[int, int] = {}
+        self.arena, self.used = np.full(1 << 16, END_ID, dtype=np.uint16), 1
+        self.first, self.count = np.zeros(1 << 14, dtype=np.int64), np.ones(1 << 14, dtype=np.int64)
 
     def _one_by_one(self, new: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        known, letters, cores, rest = self.known, self.letters, [], []
-        for w in new:
+    def _ids_of(self, new: list[str]) -> list[bytes]:
+        letters, cores, rest = self.letters, [], []
+        if len(letters) > WORD_CACHE // 2:
+            letters.clear()
+            letters[""] = b""
+        for k, w in enumerate(new):
             core = w.rstrip(self.SIGNS)
             if core.isalpha() and (core.isascii() or max(core) <= "\u00ff" and not set(core) & {"\u00aa", "\u00b5", "\u00ba"}):
-                cores.append((w, core.lower(), w[len(core) :]))
+                cores.append((k, core.lower(), w[len(core) :]))
             else:
-                rest.append(w)
+                rest.append(k)
         for signs in {x[2] for x in cores} - letters.keys():
             letters[signs] = self._one_by_one([signs])[0]
         fresh = list({x[1] for x in cores} - letters.keys())
@@ -85,22 +97,45 @@ class _Encoder:
                     lo = hi
             else:  # a vocabulary without such marks
                 letters.update(zip(part, self._one_by_one(part), strict=True))
-        for w, core, signs in cores:
-            known[w] = letters[core] + letters[signs]
-        known.update(zip(rest, self._one_by_one(rest), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > WORD_CACHE:
-            self.known = {"": b""}
-        if len(self.letters) > WORD_CACHE:
-            self.letters = {"": b""}
-        known = self.known
-        new = set().union(*words) - known.keys()
-        if new:
-            self._learn(new)
-        end = array("H", [END_ID]).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, x)) + end, dtype=np.uint16) for x in words]
+        out = [b""] * len(new)
+        for k, core, signs in cores:
+            out[k] = letters[core] + letters[signs]
+        for k, ids in zip(rest, self._one_by_one([new[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        found = self._ids_of(words)
+        count = np.array([len(x) // 2 for x in found], dtype=np.int64)
+        at, n = len(self.place) + 1, int(count.sum())
+        while len(self.first) < at + len(words):
+            self.first, self.count = np.append(self.first, self.first), np.append(self.count, self.count)
+        while len(self.arena) < self.used + n:
+            self.arena = np.append(self.arena, self.arena)
+        self.arena[self.used : self.used + n] = np.frombuffer(b"".join(found), dtype=np.uint16)
+        self.count[at : at + len(words)] = count
+        self.first[at : at + len(words)] = self.used + np.cumsum(count) - count
+        self.used += n
+        self.place.update(zip(hashes.tolist(), range(at, at + len(words)), strict=True))
+
+    def encode(self, column: pa.Array):
+        """(first row, end row, ids of those texts end to end, ids of each) in pieces."""
+        for lo, hi, data, offsets in text_chunks(column, ENCODE_BYTES):
+            words = Words(data, offsets, lower=False)
+            unique, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            if len(self.place) > WORD_CACHE:
+                self._forget()
+            places = np.fromiter(map(self.place.get, unique.tolist(), repeat(0)), dtype=np.int64, count=len(unique))
+            new = np.flatnonzero(places == 0)
+            if len(new):
+                raw = data.tobytes()
+                self._learn(unique[new], [raw[a:b].decode() for a, b in zip(words.start[at[new]].tolist(), words.stop[at[new]].tolist(), strict=True)])
+                places[new] = np.arange(len(self.place) + 1 - len(new), len(self.place) + 1)
+            used = np.insert(places[inverse], words.first[1:], 0)  # each text's end id
+            count = self.count[used]
+            ends = np.cumsum(count)
+            ids = self.arena[np.repeat(self.first[used] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+            yield lo, hi, ids, np.diff(ends[words.first[1:] + np.arange(hi - lo)], prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -113,11 +148,9 @@ def _id_values() -> np.ndarray:
     return _mix((np.arange(65536, dtype=np.uint64) + np.uint64(1)) * _LANE[20])
 
 
-def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
-    """Ends of the chunks of each id stream. No cut falls within a stream's first 7 ids, so the 8 ids a cut looks
+def cut_points(ids: np.ndarray, size: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each id stream, the streams end to end in ids. No cut falls within a stream's first 7 ids, so the 8 ids a cut looks
     at are always the stream's own."""
-    size = np.array([len(s) for s in streams], dtype=np.int64)
-    ids = np.concatenate(streams) if streams else np.zeros(0, dtype=np.uint16)
     mixed = _id_values()[ids]
     rolling = mixed * _LANE[21]
     for back in range(1, min(8, len(ids))):
@@ -128,7 +161,7 @@ def cut_points(streams: list[np.ndarray]) -> list[list[int]]:
     inner = at - (last[of] - size[of]) if len(at) else at
     keep = (inner >= 8) & (inner < size[of]) if len(at) else at.astype(bool)
     of, inner = of[keep], inner[keep]
-    border = np.searchsorted(of, np.arange(len(streams) + 1))
+    border = np.searchsorted(of, np.arange(len(size) + 1))
     out = []
     for i, n in enumerate(size.tolist()):
         ends, lo = [], 0
@@ -149,23 +182,24 @@ def _encode_rows(tokenizer_path: str):
     def run(batches):
         coder, press, sent = _encoder(tokenizer_path), zstandard.ZstdCompressor(level=1), set()
         for b in batches:
-            for at in range(0, b.num_rows, 800):
-                part = b.slice(at, 800)
-                rows, streams = [], coder.encode(part.column("text").to_pylist())
-                for doc_id, ids, cuts in zip(part.column("doc_id").to_pylist(), streams, cut_points(streams), strict=True):
-                    lo, addresses = 0, []
-                    for hi in cuts:
-                        raw = ids[lo:hi].tobytes()
+            doc_ids = b.column("doc_id").to_pylist()
+            for start, end, ids, size in coder.encode(b.column("text")):
+                rows, base = [], 0
+                for doc_id, n, cuts in zip(doc_ids[start:end], size.tolist(), cut_points(ids, size), strict=True):
+                    lo, addresses = base, []
+                    for cut in cuts:
+                        raw = ids[lo : base + cut].tobytes()
                         address = hashlib.blake2b(raw, digest_size=ADDRESS).digest()
                         addresses.append(address)
                         if address not in sent:
-                            if len(sent) >= 1_000_000:
+                            if len(sent) >= SENT:
                                 sent.clear()
                             sent.add(address)
                             rows.append((1, int.from_bytes(address[:4], "little") >> 1, None, None, address, press.compress(raw)))
-                        lo = hi
+                        lo = base + cut
+                    base += n
                     joined = b"".join(addresses)
-                    rows.append((0, zlib.crc32(joined + str(doc_id).encode()) >> 1, doc_id, len(ids), joined, None))
+                    rows.append((0, zlib.crc32(joined + str(doc_id).encode()) >> 1, doc_id, n, joined, None))
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "bucket", "doc_id", "n_tokens", "addresses", "payload"])
