@@ -6,8 +6,9 @@ repeated, and every occurrence but the earliest marks its words for removal. Onl
 2. Each window has an anchor, the least of its SPAN-K+1 K-word ids. Equal windows have equal anchors, so a window whose
    anchor stands in one place only cannot repeat. (anchor, class) pairs, about a sixth of the words, meet by anchor in
    packed blobs; anchors of several classes, or at several places of one, go back to their classes.
+   Anchors shared within a task's batch are known there; only one class of each travels to meet other batches.
 3. Those classes' texts give the windows at shared anchors: edges (window id, document, start), met by window id. The
-   earliest coordinate stays; the others go to their documents.
+   earliest coordinate stays; the others go to their documents. Of a batch only each window's earliest travels.
 4. In a document, edges that follow one another compact into paths (first start, last start): a path's words are one
    span, start to last start + SPAN. Paths join the documents, whose words outside all spans are kept.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, dealt, join_checked, map_arrow, sequence_hash, signed, table, text_chunks, text_only
+from gridloom.llm.common import Words, dealt, map_arrow, release, sequence_hash, signed, table, text_chunks, text_only
 
 SPAN, K = 20, 10
 PAIR = np.dtype([("key", "<u8"), ("id", "<u8")])
@@ -104,13 +105,24 @@ def _survey(buckets: int):
             if keys:
                 pairs = np.empty(sum(map(len, keys)), dtype=PAIR)
                 pairs["key"], pairs["id"] = np.concatenate(keys), np.concatenate(owners)
-                used, blobs = _blobs(pairs, (pairs["key"] % np.uint64(buckets)).astype(np.int64), buckets)
-                m = len(used)
-                yield _rows([1] * m, used, [None] * m, [None] * m, [None] * m, [None] * m, blobs)
+                pairs = pairs[np.argsort(pairs["key"], kind="stable")]
+                new = np.append(True, pairs["key"][1:] != pairs["key"][:-1])
+                group = np.cumsum(new) - 1
+                met = pairs[np.bincount(group)[group] > 1]  # shared within the batch: known already
+                for kind, packed, by in ((1, pairs[new], pairs["key"][new]), (3, met, met["id"])):
+                    used, blobs = _blobs(packed, (by % np.uint64(buckets)).astype(np.int64), buckets)
+                    m = len(used)
+                    yield _rows([kind] * m, used, [None] * m, [None] * m, [None] * m, [None] * m, blobs)
 
     return run
 
 
+def _next(rest: pa.RecordBatch):
+    """Kind 3 has nothing to meet at this exchange and becomes kind 1 of the next."""
+    kind = rest.column("kind").to_numpy()
+    yield rest.set_column(rest.schema.get_field_index("kind"), "kind", pa.array(np.where(kind == 3, 1, kind), pa.int32()))
+
+
 def _gather(batches, pass_on):
     """Blobs by bucket; other rows go to pass_on at once."""
     parts: dict[int, list[bytes]] = {}
@@ -129,11 +141,13 @@ def _meet(buckets: int):
     """Packed (anchor, class) of whole buckets -> packed pairs of the anchors with several classes, dealt by class."""
 
     def run(batches):
-        for got in _gather(batches, lambda rest: [rest]):
+        for got in _gather(batches, _next):
             if isinstance(got, pa.RecordBatch):
                 yield got
                 continue
-            pairs = np.unique(np.frombuffer(got[1], dtype=PAIR))
+            pairs = np.frombuffer(got[1], dtype=PAIR)
+            pairs = pairs[np.lexsort((pairs["id"], pairs["key"]))]
+            pairs = pairs[np.append(True, (pairs["key"][1:] != pairs["key"][:-1]) | (pairs["id"][1:] != pairs["id"][:-1]))]
             group = np.cumsum(np.append(True, pairs["key"][1:] != pairs["key"][:-1])) - 1
             pairs = pairs[np.bincount(group)[group] > 1]
             if len(pairs):
@@ -168,6 +182,16 @@ def _by_class(batches):
         yield out(sorted(alone), [b""] * len(alone))
 
 
+def _places(edges: np.ndarray) -> np.ndarray:
+    places = np.empty(len(edges), dtype=PLACE)
+    places["doc"], places["at"] = edges["doc"], edges["at"]
+    return places
+
+
+def _packed(kind: int, used: list, blobs: list):
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
+
+
 def _edges(buckets: int):
     """Texts with their classes' shared anchors -> packed edges of the windows that may repeat."""
 
@@ -190,8 +214,12 @@ def _edges(buckets: int):
                 found.append(part)
             if found:
                 edges = np.concatenate(found)
-                used, blobs = _blobs(edges, (edges["key"] % np.uint64(buckets)).astype(np.int64), buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
+                edges = edges[np.lexsort((edges["at"], edges["doc"], edges["key"]))]
+                new = np.append(True, edges["key"][1:] != edges["key"][:-1])
+                later = _places(edges[~new])  # not the earliest even of this batch
+                for kind, packed, by in ((1, edges[new], (edges["key"][new] % np.uint64(buckets)).astype(np.int64)), (3, later, later["doc"] % buckets)):
+                    used, blobs = _blobs(packed, by, buckets)
+                    yield _packed(kind, used, blobs)
 
     return run
 
@@ -207,14 +235,15 @@ def _later(buckets: int):
     """Packed edges of whole buckets -> packed places of all but each edge's earliest, dealt by document."""
 
     def run(batches):
-        for _, blob in _gather(batches, lambda rest: []):
-            edges = np.unique(np.frombuffer(blob, dtype=EDGE))  # by window, document, start
-            edges = edges[1:][edges["key"][1:] == edges["key"][:-1]]
-            if len(edges):
-                places = np.empty(len(edges), dtype=PLACE)
-                places["doc"], places["at"] = edges["doc"], edges["at"]
-                used, blobs = _blobs(places, places["doc"] % buckets, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
+        for got in _gather(batches, _next):
+            if isinstance(got, pa.RecordBatch):
+                yield got
+                continue
+            edges = np.frombuffer(got[1], dtype=EDGE)
+            edges = edges[np.lexsort((edges["at"], edges["doc"], edges["key"]))]
+            later = _places(edges[1:][edges["key"][1:] == edges["key"][:-1]])
+            if len(later):
+                yield _packed(1, *_blobs(later, later["doc"] % buckets, buckets))
 
     return run
 
@@ -222,8 +251,11 @@ def _later(buckets: int):
 def _paths(batches):
     """Packed places of whole document buckets -> (document, paths): int32 pairs of first and last start."""
     for _, blob in _gather(batches, lambda rest: []):
-        places = np.unique(np.frombuffer(blob, dtype=PLACE))
-        doc, at = places["doc"], places["at"]
+        places = np.frombuffer(blob, dtype=PLACE)
+        order = np.lexsort((places["at"], places["doc"]))
+        doc, at = places["doc"][order], places["at"][order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+        doc, at = doc[new], at[new]
         first = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))
         last = np.append(first[1:], True)
         pairs = np.column_stack([at[first], at[last]]).astype("<i4")
@@ -269,13 +301,15 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     first = table(members.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     shared = table(map_arrow(dealt(met.where("kind > 0").select("kind", "bucket", "h1", "blob"), "bucket"), _by_class, "h1 long, anchors binary"))
     active = table(first.select("h1", "doc_id").join(shared, "h1"))
-    edges = join_checked(texts, active, "doc_id", "inner", 20_000).select("doc_id", "h1", "text", "anchors")
+    release(docs.sparkSession)
+    edges = texts.join(active, "doc_id").select("doc_id", "h1", "text", "anchors")
     later = map_arrow(dealt(map_arrow(edges, _edges(buckets), "kind int, bucket int, blob binary"), "bucket"), _later(buckets), "kind int, bucket int, blob binary")
     paths = map_arrow(dealt(later, "bucket"), _paths, "doc_id long, paths binary")
     copied = first.where("copies > 1").select("h1", "h2", F.col("doc_id").alias("least"))
     whole = members.join(copied, ["h1", "h2"]).where("doc_id > least").select("doc_id").distinct().withColumn("paths", F.lit(b"all"))
     plan = table(paths.unionByName(whole))
-    return map_arrow(join_checked(texts, plan, "doc_id", "left", 20_000).select("doc_id", "text", "paths"), _kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
+    release(docs.sparkSession)
+    return map_arrow(texts.join(plan, "doc_id", "left").select("doc_id", "text", "paths"), _kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
