@@ -132,21 +132,34 @@ def bpe_decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_arrow(tokens.select("doc_id", "ids"), run, "doc_id long, data binary")
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Encodes, decodes and digests in one pass over the texts: no shuffle, a few documents in memory at a time."""
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS, with_ids: bool = False) -> DataFrame:
+    """Encodes, decodes and digests in one pass over the texts: no shuffle, a few documents in memory at a time.
+
+    With with_ids the ids come along as `ids array<int>`, and an encoding that doesn't decode to its text is an error."""
 
     def run(batches):
         coder = codec(ranks_path, pattern, leaf_chars)
         decimal = coder.decimal.__getitem__
-        for b in batches:
-            rows = []
-            for text in b.column("text"):
-                ids = coder.encode(text.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()))
-            n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(text_only(docs), run, SCHEMA)
+        for whole in batches:
+            for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                rows, streams = [], []
+                for text in b.column("text"):
+                    text = text.as_py() or ""
+                    ids = coder.encode(text)
+                    back = coder.decode(ids)
+                    if with_ids:
+                        if back != text.encode():
+                            raise ValueError("the ids don't decode to their text")
+                        streams.append(ids)
+                    rows.append((len(ids), hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                n, ids_sha, text_sha = zip(*rows, strict=True) if rows else ((), (), ())
+                cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    cols, names = [*cols, pa.array(streams, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return map_arrow(text_only(docs), run, SCHEMA + ", ids array<int>" * with_ids)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

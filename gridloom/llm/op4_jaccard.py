@@ -354,5 +354,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, less all but the least doc_id of each component; of rows that share a
+    doc_id one stays. Only the ids that go are joined to the texts."""
+    found = table(jaccard_components(docs))
+    gone = table(found.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = join_checked(docs, gone, "doc_id", "left_anti")
+    if found.where("doc_id IS NOT NULL AND component_id = doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
