@@ -10,11 +10,14 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
    at most the sum of coordinate minima, and they link only if that reaches 3/7 of the sum of their sizes. A set of n
    has between n/4 and n/2 groups (64 at least), so that counts fit in 4 bits and the bound stays tight at every size;
    the number is a power of two, and points of different sizes compare after the longer one is folded.
-4. First round: within each shingle's bucket, neighbours in size order become candidates; their bound is checked, then
-   their sets; links merge classes into components, so that a group of near copies costs a chain, not all its pairs.
-5. Second round: buckets that still hold several components of fitting sizes get an R-tree: points sorted by size and packed into
-   leaves with bounding boxes; boxes, then points, are paired if the bound of minima allows it and if their components
-   differ. Survivors are verified with their whole sets. Links inside a component can't change it, so none is lost.
+4. First round: within each shingle's bucket, in size order, each class and the first of a fitting size become a
+   candidate; its bound is checked, then its sets; links merge classes into components.
+5. Buckets that still hold several components of fitting sizes get an R-tree: points sorted by size and packed into
+   leaves with bounding boxes; boxes, then points, are paired if the bound of minima allows a link and their components
+   differ. Second round: of all such pairs of a bucket the forest with the highest bounds is verified and merged, so a
+   group of near copies costs a forest, not all its pairs. Third round: the rows that had any such pair are searched
+   again, and every pair whose components still differ is verified with whole sets. Links inside a component can't
+   change it, so none is lost.
 
 Cases: a null or empty text, or one without words, has size 0 and is its own component; fewer than 5 words make one
 shingle of the whole sequence; repeated rows are equal sets; empty tables give empty results.
@@ -188,15 +191,27 @@ def _slices(batches, key: str):
         yield rest.combine_chunks()
 
 
-def _neighbours(batches):
-    """In each shingle's bucket every class and the next in size order, if their sizes allow a link."""
+def _stars(batches):
+    """In each shingle's bucket, in size order, every class with the first one whose size still allows a link."""
     for t in _slices(batches, "key"):
         key, ids, n = (t.column(c).to_numpy() for c in ("key", "id", "n"))
         order = np.lexsort((ids, n, key))
         key, ids, n = key[order], ids[order], n[order]
-        ok = (key[1:] == key[:-1]) & (100 * n[:-1] >= 75 * n[1:])
-        pairs = np.unique(np.column_stack([ids[:-1][ok], ids[1:][ok]]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(pairs[:, 0], pairs[:, 1])), pa.array(np.maximum(pairs[:, 0], pairs[:, 1]))], names=["a", "b"])
+        center = np.arange(len(key))
+        open_rows = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # the centres of this pass: one a bucket
+        ends = np.append(open_rows[1:], len(key))
+        while len(open_rows):
+            # all that fit a centre attach to it; the next that doesn't is the bucket's next centre
+            limit = 100 * n[open_rows]
+            reach = np.array([lo + np.searchsorted(75 * n[lo:hi], lim, "right") for lo, hi, lim in zip(open_rows, ends, limit, strict=True)])
+            for lo, hi in zip(open_rows, reach, strict=True):
+                center[lo:hi] = lo
+            more = reach < ends
+            open_rows, ends = reach[more], ends[more]
+        ok = center != np.arange(len(key))
+        pairs = np.column_stack([ids[center[ok]], ids[ok]])
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _fitting(batches):
@@ -223,7 +238,8 @@ def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray):
     coordinates and its least and greatest size. The sum of minima of two boxes' upper corners bounds all pairs below."""
     groups = np.array([len(p) for p in points])
     order = np.lexsort((sizes, groups))
-    leaves, tops, least, most = [], [], [], []
+    names, place = np.unique(comp, return_inverse=True)
+    leaves, tops, least, most, alone = [], [], [], [], []  # alone: the component of a leaf that has only one
     for g in np.unique(groups):
         own = order[groups[order] == g]
         for at in range(0, len(own), LEAF):
@@ -232,32 +248,100 @@ def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray):
             tops.append(leaves[-1][1].max(axis=0))
             least.append(sizes[leaf].min())
             most.append(sizes[leaf].max())
+            alone.append(place[leaf[0]] if (place[leaf] == place[leaf[0]]).all() else -1)
     for i, (own, mine) in enumerate(leaves):
         for j in range(i, len(leaves)):
-            if 100 * most[i] < 75 * least[j] or 100 * most[j] < 75 * least[i]:
-                continue
             far, theirs = leaves[j]
+            if 100 * most[i] < 75 * least[j] or 100 * most[j] < 75 * least[i] or alone[i] == alone[j] >= 0:
+                continue
             g = min(mine.shape[1], theirs.shape[1])
             if 7 * np.minimum(fold(tops[i], g), fold(tops[j], g)).sum() < 3 * (least[i] + least[j]):
                 continue
             overlap = np.minimum(fold(mine, g)[:, None], fold(theirs, g)).sum(axis=2)
-            x, y = np.nonzero((comp[own][:, None] != comp[far]) & (7 * overlap >= 3 * (sizes[own][:, None] + sizes[far])))
+            total = sizes[own][:, None] + sizes[far]
+            x, y = np.nonzero((place[own][:, None] != place[far]) & (7 * overlap >= 3 * total))
             if i == j:
                 x, y = x[x < y], y[x < y]
             if len(x):
-                yield own[x], far[y]
+                yield own[x], far[y], overlap[x, y] / total[x, y]
+
+
+def best_forest(n: int, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Indices of a forest of the highest-scored edges that joins what all the edges join (Boruvka's rounds)."""
+    order = np.lexsort((b, a, -score))
+    a, b = a[order], b[order]
+    root, taken = np.arange(n), np.zeros(len(a), dtype=bool)
+    live = np.arange(len(a))
+    while True:
+        ra, rb = root[a[live]], root[b[live]]
+        live, ra, rb = live[ra != rb], ra[ra != rb], rb[ra != rb]
+        if not len(live):
+            return order[taken]
+        best = np.full(n, len(a))
+        np.minimum.at(best, ra, live)
+        np.minimum.at(best, rb, live)
+        picked = np.unique(best[best < len(a)])
+        taken[picked] = True
+        root = forest_roots(n, root, a[picked], b[picked])
+
+
+def forest_roots(n: int, root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(jumped := new[new], new):
+            new = jumped
+        root = new
+        differ = root[a] != root[b]
+        a, b = a[differ], b[differ]
+    return root
+
+
+def _buckets(t: pa.Table):
+    """(ids, sizes, components, points) of each shingle in a sorted slice."""
+    key, ids, n, comp = (t.column(c).to_numpy() for c in ("key", "id", "n", "comp"))
+    blobs = t.column("blob").to_pylist()
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
+        yield key[lo], ids[lo:hi], n[lo:hi], comp[lo:hi], [unpacked(x) for x in blobs[lo:hi]]
+
+
+def _chains(batches):
+    """Kind 1: the best-bounded forest of each bucket's possible links. Kind 0: (shingle, class) rows that have any."""
+    for t in _slices(batches, "key"):
+        kinds, left, right = [], [], []
+        for key, ids, n, comp, points in _buckets(t):
+            kept = [np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)]
+            some, waiting = np.zeros(len(ids), dtype=bool), []
+            for x, y, score in tree_pairs(points, n, comp):
+                some[x] = some[y] = True
+                waiting.append((x, y, score))
+                if sum(len(w[0]) for w in waiting) > 500_000:
+                    kept, waiting = _best(len(ids), kept, waiting), []
+            a, b, _ = _best(len(ids), kept, waiting)
+            rows = np.flatnonzero(some)
+            kinds += [1] * len(a) + [0] * len(rows)
+            left += [np.minimum(ids[a], ids[b]), np.full(len(rows), key)]
+            right += [np.maximum(ids[a], ids[b]), ids[rows]]
+        if kinds:
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["kind", "a", "b"])
+
+
+def _best(n: int, kept: list, waiting: list) -> list:
+    a, b, score = (np.concatenate([kept[k], *(w[k] for w in waiting)]) for k in range(3))
+    chosen = best_forest(n, a, b, score)
+    return [a[chosen], b[chosen], score[chosen]]
 
 
 def _searched(batches):
+    """All possible links between components, each once for its slice."""
     for t in _slices(batches, "key"):
-        key, ids, n, comp = (t.column(c).to_numpy() for c in ("key", "id", "n", "comp"))
-        points = [unpacked(x) for x in t.column("blob").to_pylist()]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        out: list[np.ndarray] = []
-        for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
-            for x, y in tree_pairs(points[lo:hi], n[lo:hi], comp[lo:hi]):
-                a, b = ids[lo + x], ids[lo + y]
-                out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        out = []
+        for _, ids, n, comp, points in _buckets(t):
+            for x, y, _ in tree_pairs(points, n, comp):
+                out.append(np.sort(np.column_stack([ids[x], ids[y]]), axis=1))
         if out:
             pairs = np.unique(np.concatenate(out), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -315,6 +399,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFram
     return table(map_arrow(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb"), run, "a long, b long"))
 
 
+def _spots(sized: DataFrame, comp: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """(key, id, n, comp, blob), sorted by shingle: the rows whose bucket holds another component of a fitting size."""
+    labelled = sized.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    fitting = table(map_arrow(labelled.repartition(parts, "key").sortWithinPartitions("key"), _fitting, "key long, id long, n long, comp long"))
+    placed = fitting.join(classes.select("id", "blob"), "id").select("key", "id", "n", "comp", "blob")
+    return placed.repartition(parts, "key").sortWithinPartitions("key")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs."""
     spark = docs.sparkSession
@@ -331,17 +423,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = table(spread.where("kind = 0").groupBy("id").agg(F.min("n").alias("n"), F.min("blob").alias("blob")))
     shared = spread.where("kind = 1").select("key", "id")
     sized = table(shared.join(classes.select("id", "n"), "id"))
-    near = map_arrow(sized.repartition(parts, "key").sortWithinPartitions("key"), _neighbours, "a long, b long")
+    near = map_arrow(sized.repartition(parts, "key").sortWithinPartitions("key"), _stars, "a long, b long")
     first_round = table(_bounded(near, classes))
     release(spark)
     links = _verified(docs, first_round, members)
     comp = connected_components(links, "a", "b")
     release(spark)
-    labelled = sized.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-    fitting = table(map_arrow(labelled.repartition(parts, "key").sortWithinPartitions("key"), _fitting, "key long, id long, n long, comp long"))
-    left = fitting.join(classes.select("id", "blob"), "id").select("key", "id", "n", "comp", "blob")
-    across = map_arrow(left.repartition(parts, "key").sortWithinPartitions("key"), _searched, "a long, b long")
-    across = table(across.distinct())
+    spots = _spots(sized, comp, classes, parts)
+    chained = table(map_arrow(spots, _chains, "kind int, a long, b long"), "kind")
+    release(spark)
+    second = _verified(docs, chained.where("kind = 1").select("a", "b").distinct(), members)
+    links = table(links.unionByName(second))
+    comp = connected_components(links, "a", "b")
+    release(spark)
+    open_rows = chained.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("id"))
+    spots = _spots(open_rows.join(classes.select("id", "n"), "id"), comp, classes, parts)
+    across = table(map_arrow(spots, _searched, "a long, b long").distinct())
     release(spark)
     more = _verified(docs, across, members)
     comp = connected_components(links.unionByName(more), "a", "b")
