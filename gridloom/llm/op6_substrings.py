@@ -302,14 +302,14 @@ def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     shared = table(map_arrow(dealt(met.where("kind > 0").select("kind", "bucket", "h1", "blob"), "bucket"), _by_class, "h1 long, anchors binary"))
     active = table(first.select("h1", "doc_id").join(shared, "h1"))
     release(docs.sparkSession)
-    edges = texts.join(active, "doc_id").select("doc_id", "h1", "text", "anchors")
+    edges = texts.join(active.hint("merge"), "doc_id").select("doc_id", "h1", "text", "anchors")
     later = map_arrow(dealt(map_arrow(edges, _edges(buckets), "kind int, bucket int, blob binary"), "bucket"), _later(buckets), "kind int, bucket int, blob binary")
     paths = map_arrow(dealt(later, "bucket"), _paths, "doc_id long, paths binary")
     copied = first.where("copies > 1").select("h1", "h2", F.col("doc_id").alias("least"))
     whole = members.join(copied, ["h1", "h2"]).where("doc_id > least").select("doc_id").distinct().withColumn("paths", F.lit(b"all"))
     plan = table(paths.unionByName(whole))
     release(docs.sparkSession)
-    return map_arrow(texts.join(plan, "doc_id", "left").select("doc_id", "text", "paths"), _kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
+    return map_arrow(texts.join(plan.hint("merge"), "doc_id", "left").select("doc_id", "text", "paths"), _kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
