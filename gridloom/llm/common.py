@@ -97,10 +97,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit ids of byte spans: polynomial sums over random values of the bytes, length added, finalised."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return _mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 class Words:
     """The words of some whole texts as arrays: byte spans, 64-bit ids, and each document's first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool | None):
+        """lower: whether A-Z count as a-z; None leaves the ids out."""
         sep = _SEP[data]
         start = ~sep
         start[1:] &= sep[:-1] | False
@@ -111,10 +120,8 @@ class Words:
         stop[inner - 1] = ~sep[inner - 1]
         self.start, self.stop = np.flatnonzero(start), np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)  # of each text, and the end
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-        self.hash = _mix((sums[self.stop] - sums[self.start]) * down[self.start] + (self.stop - self.start).astype(np.uint64))
+        if lower is not None:
+            self.hash = span_hashes(_LOWER[data] if lower else data, self.start, self.stop)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words at each word, and whether they lie in one text."""

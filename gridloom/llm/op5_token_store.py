@@ -21,7 +21,6 @@ import hashlib
 import os
 import uuid
 import zlib
-from array import array
 from functools import lru_cache
 from itertools import repeat
 
@@ -32,24 +31,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _LANE, Words, _mix, dealt, map_arrow, shared_dir, text_chunks, text_only
+from gridloom.llm.common import _LANE, Words, _mix, dealt, map_arrow, shared_dir, span_hashes, text_chunks, text_only
 
 END_ID = 2
 CUT_MASK = np.uint64(511)
 MAX_CHUNK = 8192
-WORD_CACHE = 800_000
-ENCODE_BYTES = 2 << 20
+WORD_CACHE = 600_000
+ENCODE_BYTES = 1 << 20
 SENT = 200_000
 ADDRESS = 16
 
 
-class _Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never joins across it, so words between ASCII
-    white space are encoded once each and kept by a 64-bit hash of their bytes (a bounded table). A word of ASCII or Latin-1 letters with signs
-    after it is two of the tokenizer's pieces, the lower-case letters and the signs: such letters, kept by
-    themselves, are encoded many at a time, told apart by the mark every piece's last token bears."""
+_KIND = np.full(256, 3, dtype=np.uint8)  # 0 white, 1 ASCII letter, 2 sign, 3 anything else
+_KIND[[9, 10, 11, 12, 13, 32]], _KIND[65:91], _KIND[97:123] = 0, 1, 1
+_KIND[list(b".,;:!?")] = 2
+
+
+def split_pieces(data: np.ndarray, offsets: np.ndarray):
+    """(bytes, starts, ends, plain, first piece of each text) of words cut into what the tokenizer encodes by itself.
+
+    A word of ASCII or Latin-1 letters with signs after it is two of the tokenizer's pieces, the letters in lower case
+    (plain) and the signs; any other word stays whole, its case as it is."""
+    words = Words(data, offsets, None)
+    start, stop = words.start, words.stop
+    before, after = np.zeros_like(data), np.zeros_like(data)
+    before[1:], after[:-1] = data[:-1], data[1:]
+    latin = lambda b: (b >= 0x80) & (b <= 0xBF) & (b != 0x97) & (b != 0xB7)  # noqa: E731  after a byte 0xC3
+    tail = (before == 0xC3) & latin(data)
+    kind = _KIND[data]
+    kind[tail | (data == 0xC3) & latin(after)] = 1
+    total = lambda mask: np.append(0, np.cumsum(mask, dtype=np.int64))
+    signs, other = total(kind == 2), total(kind == 3)
+    n = signs[stop] - signs[start]
+    simple = (other[stop] == other[start]) & (n < stop - start) & (signs[stop] - signs[stop - n] == n)
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[start[simple]] += 1
+    inside[stop[simple]] -= 1
+    upper = (data >= 65) & (data <= 90) | tail & (data <= 0x9E)
+    data = data + (upper & (np.cumsum(inside[:-1], dtype=np.int8) > 0)) * np.uint8(32)
+    split = simple & (n > 0)
+    ends = np.cumsum(1 + split)
+    starts, stops, plain = np.repeat(start, 1 + split), np.repeat(stop, 1 + split), np.repeat(simple, 1 + split)
+    second = ends[split] - 1
+    starts[second] = stops[second - 1] = (stop - n)[split]
+    plain[second] = False
+    return data, starts, stops, plain, np.append(0, ends)[words.first]
+
 
-    SIGNS = ".,;:!?"
+class _Encoder:
+    """Ids of whole texts. The tokenizer drops white space and never joins across it, so the pieces of split_pieces are
+    encoded once each and kept by a 64-bit hash of their bytes (a bounded table). Plain pieces are encoded many at a
+    time, told apart by the mark every piece's last token bears."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,82 +92,57 @@ class _Encoder:
             raise ValueError("the store keeps ids in 16 bits")
         self.ends = np.zeros(65536, dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.letters: dict[str, bytes] = {"": b""}
         self._forget()
 
     def _forget(self) -> None:
-        """An empty table of known words: word hash -> place, with each place's ids in one arena. Place 0 is the end id."""
+        """An empty table: hash -> place, with each place's ids in one arena. Place 0 is the end id."""
         self.place: dict[int, int] = {}
         self.arena, self.used = np.full(1 << 16, END_ID, dtype=np.uint16), 1
         self.first, self.count = np.zeros(1 << 14, dtype=np.int64), np.ones(1 << 14, dtype=np.int64)
 
-    def _one_by_one(self, new: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-
-    def _ids_of(self, new: list[str]) -> list[bytes]:
-        letters, cores, rest = self.letters, [], []
-        if len(letters) > WORD_CACHE // 2:
-            letters.clear()
-            letters[""] = b""
-        for k, w in enumerate(new):
-            core = w.rstrip(self.SIGNS)
-            if core.isalpha() and (core.isascii() or max(core) <= "\u00ff" and not set(core) & {"\u00aa", "\u00b5", "\u00ba"}):
-                cores.append((k, core.lower(), w[len(core) :]))
-            else:
-                rest.append(k)
-        for signs in {x[2] for x in cores} - letters.keys():
-            letters[signs] = self._one_by_one([signs])[0]
-        fresh = list({x[1] for x in cores} - letters.keys())
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=np.uint16)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                raw, lo = ids.tobytes(), 0
-                for w, hi in zip(part, (2 * ends).tolist(), strict=True):
-                    letters[w] = raw[lo:hi]
-                    lo = hi
-            else:  # a vocabulary without such marks
-                letters.update(zip(part, self._one_by_one(part), strict=True))
-        out = [b""] * len(new)
-        for k, core, signs in cores:
-            out[k] = letters[core] + letters[signs]
-        for k, ids in zip(rest, self._one_by_one([new[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
+    def _one_by_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], dtype=np.uint16), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode(b" ".join(pieces).decode(), add_special_tokens=False).ids, dtype=np.uint16)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):  # a vocabulary without such marks
+            return self._one_by_one(pieces)
+        return ids, np.diff(ends, prepend=0)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = self._ids_of(words)
-        count = np.array([len(x) // 2 for x in found], dtype=np.int64)
-        at, n = len(self.place) + 1, int(count.sum())
-        while len(self.first) < at + len(words):
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        at, m = len(self.place) + 1, len(hashes)
+        while len(self.first) < at + m:
             self.first, self.count = np.append(self.first, self.first), np.append(self.count, self.count)
-        while len(self.arena) < self.used + n:
+        while len(self.arena) < self.used + len(ids):
             self.arena = np.append(self.arena, self.arena)
-        self.arena[self.used : self.used + n] = np.frombuffer(b"".join(found), dtype=np.uint16)
-        self.count[at : at + len(words)] = count
-        self.first[at : at + len(words)] = self.used + np.cumsum(count) - count
-        self.used += n
-        self.place.update(zip(hashes.tolist(), range(at, at + len(words)), strict=True))
+        self.arena[self.used : self.used + len(ids)] = ids
+        self.count[at : at + m] = count
+        self.first[at : at + m] = self.used + np.cumsum(count) - count
+        self.used += len(ids)
+        self.place.update(zip(hashes.tolist(), range(at, at + m), strict=True))
 
     def encode(self, column: pa.Array):
-        """(first row, end row, ids of those texts end to end, ids of each) in pieces."""
+        """(first row, end row, ids of those texts end to end, number of each) in parts."""
         for lo, hi, data, offsets in text_chunks(column, ENCODE_BYTES):
-            words = Words(data, offsets, lower=False)
-            unique, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            data, start, stop, plain, border = split_pieces(data, offsets)
+            unique, at, inverse = np.unique(span_hashes(data, start, stop), return_index=True, return_inverse=True)
             if len(self.place) > WORD_CACHE:
                 self._forget()
             places = np.fromiter(map(self.place.get, unique.tolist(), repeat(0)), dtype=np.int64, count=len(unique))
-            new = np.flatnonzero(places == 0)
-            if len(new):
-                raw = data.tobytes()
-                self._learn(unique[new], [raw[a:b].decode() for a, b in zip(words.start[at[new]].tolist(), words.stop[at[new]].tolist(), strict=True)])
+            raw = data.tobytes()
+            for group, encode, most in ((plain[at], self._together, 4000), (~plain[at], self._one_by_one, 100_000)):
+                new = np.flatnonzero((places == 0) & group)
+                for k in range(0, len(new), most):
+                    part = new[k : k + most]
+                    self._learn(unique[part], *encode([raw[a:b] for a, b in zip(start[at[part]].tolist(), stop[at[part]].tolist(), strict=True)]))
                 places[new] = np.arange(len(self.place) + 1 - len(new), len(self.place) + 1)
-            used = np.insert(places[inverse], words.first[1:], 0)  # each text's end id
+            used = np.insert(places[inverse], border[1:], 0)  # each text's end id
             count = self.count[used]
             ends = np.cumsum(count)
             ids = self.arena[np.repeat(self.first[used] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-            yield lo, hi, ids, np.diff(ends[words.first[1:] + np.arange(hi - lo)], prepend=0)
+            yield lo, hi, ids, np.diff(ends[border[1:] + np.arange(hi - lo)], prepend=0)
 
 
 @lru_cache(maxsize=2)
