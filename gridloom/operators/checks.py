@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.expr import above, divide, is_finite, isclose, midpoints
 from gridloom.functions.fixed import EXPECTED_PHYSICAL, HEAT_FLUX, HEATER_SHARED_KEYS, MUST_BE_POSITIVE, NON_DIMENSIONAL, PHYSICAL_UNITS, REQUIRED_DISCRETIZATION
-from gridloom.operators.stencil import PAIRED, face_divergence, gradient_norm, pair_fields
+from gridloom.operators.stencil import face_divergence, gradient_norm, pair_fields, paired
 
 ERROR, WARNING = "error", "warning"
 
@@ -172,7 +172,7 @@ def cell_face_errors(rows: DataFrame, center: str, face: str, along_y: bool) ->
     """(case_id, error, fits): how far cell values are from the means of their faces, relative to the face peak."""
     both = pair_fields(rows, center, face)
     if along_y:
-        ahead = F.lead(face).over(PAIRED)
+        ahead = F.lead(face).over(paired())
         both = both.withColumn("mean", F.zip_with(F.col(face), ahead, lambda a, b: F.lit(0.5) * (a + b)))
     else:
         both = both.withColumn("mean", midpoints(face))

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.expr import central, differences, gradient, midpoints
 
-LINES = Window.partitionBy("case_id", "field", "frame").orderBy("j")
-PAIRED = Window.partitionBy("case_id", "frame").orderBy("j")
+
+def lines():
+    """The lines of one field and frame, in order."""
+    return Window.partitionBy("case_id", "field", "frame").orderBy("j")
+
+
+def paired():
+    """The lines of one frame with fields side by side."""
+    return Window.partitionBy("case_id", "frame").orderBy("j")
 
 
 def diff_x(rows: DataFrame) -> DataFrame:
@@ -31,7 +38,7 @@ def average_x(rows: DataFrame) -> DataFrame:
 
 
 def _with_next(rows: DataFrame, combine) -> DataFrame:
-    paired = rows.withColumn("__next", F.lead("vals").over(LINES))
+    paired = rows.withColumn("__next", F.lead("vals").over(lines()))
     return paired.where("__next IS NOT NULL").withColumn("vals", combine(F.col("vals"), F.col("__next"))).drop("__next")
 
 
@@ -42,7 +49,7 @@ def gradient_x(rows: DataFrame, coords="x") -> DataFrame:
 
 def gradient_y(rows: DataFrame, coords="y") -> DataFrame:
     """d/dy likewise, from the neighbouring lines."""
-    return rows.withColumn("vals", line_gradient("vals", coords, LINES))
+    return rows.withColumn("vals", line_gradient("vals", coords, lines()))
 
 
 def line_gradient(values: str, coords: str, window) -> Column:
@@ -73,13 +80,13 @@ def vorticity(rows: DataFrame, x="x", y="y", u: str = "velx", v: str = "vely") -
     """dv/dx - du/dy of cell velocities; rows carry coordinate arrays x and y."""
     coords = rows.groupBy("case_id").agg(F.first(x).alias("x"), F.first(y).alias("y"))
     both = same_shape(pair_fields(rows, u, v), u, v).join(coords, "case_id")
-    return both.select("case_id", "frame", "j", F.zip_with(gradient(v, "x"), line_gradient(u, "y", PAIRED), lambda a, b: a - b).alias("vals"))
+    return both.select("case_id", "frame", "j", F.zip_with(gradient(v, "x"), line_gradient(u, "y", paired()), lambda a, b: a - b).alias("vals"))
 
 
 def face_divergence(pairs: DataFrame, x_faces="x_faces", y_faces="y_faces", u: str = "velfacex", v: str = "velfacey") -> DataFrame:
     """diff(u)/dx + diff(v)/dy of the cells between the faces; pairs from pair_fields with face coordinate arrays."""
     dy = F.get(F.col(y_faces), F.col("j") + 1) - F.get(F.col(y_faces), F.col("j"))
-    ahead = pairs.withColumn("__up", F.lead(v).over(PAIRED)).where(F.col("__up").isNotNull() & F.col(u).isNotNull())
+    ahead = pairs.withColumn("__up", F.lead(v).over(paired())).where(F.col("__up").isNotNull() & F.col(u).isNotNull())
     du = F.zip_with(differences(u), differences(x_faces), lambda a, dx: a / dx)
     dv = F.zip_with(F.col(v), F.col("__up"), lambda a, b: (b - a) / dy)
     return ahead.withColumn("vals", F.zip_with(du, dv, lambda a, b: a + b)).drop("__up")
@@ -87,12 +94,12 @@ def face_divergence(pairs: DataFrame, x_faces="x_faces", y_faces="y_faces", u: s
 
 def cell_divergence(pairs: DataFrame, x="x", y="y", u: str = "velx", v: str = "vely") -> DataFrame:
     """Central differences of cell velocities, one-sided at the walls."""
-    return pairs.withColumn("vals", F.zip_with(gradient(u, x), line_gradient(v, y, PAIRED), lambda a, b: a + b))
+    return pairs.withColumn("vals", F.zip_with(gradient(u, x), line_gradient(v, y, paired()), lambda a, b: a + b))
 
 
 def face_speed(pairs: DataFrame, u: str = "velfacex", v: str = "velfacey") -> DataFrame:
     """Velocity magnitude at the cells from the averages of their faces."""
-    ahead = pairs.withColumn("__up", F.lead(v).over(PAIRED)).where(F.col("__up").isNotNull() & F.col(u).isNotNull())
+    ahead = pairs.withColumn("__up", F.lead(v).over(paired())).where(F.col("__up").isNotNull() & F.col(u).isNotNull())
     mean_v = F.zip_with(F.col(v), F.col("__up"), lambda a, b: F.lit(0.5) * (a + b))
     return ahead.withColumn("vals", F.zip_with(midpoints(u), mean_v, lambda a, b: F.hypot(a, b))).drop("__up")
 
@@ -103,7 +110,7 @@ def cell_speed(pairs: DataFrame, u: str = "velx", v: str = "vely") -> DataFrame:
 
 def gradient_norm(rows: DataFrame, x="x", y="y") -> DataFrame:
     """hypot of both derivatives of one field."""
-    return rows.withColumn("vals", F.zip_with(gradient("vals", x), line_gradient("vals", y, LINES), lambda a, b: F.hypot(a, b)))
+    return rows.withColumn("vals", F.zip_with(gradient("vals", x), line_gradient("vals", y, lines()), lambda a, b: F.hypot(a, b)))
 
 
 def percentile_or_one(values: DataFrame, q: float, *by: str, value: str = "value") -> DataFrame:

@@ -31,6 +31,10 @@ def mirror_rows(rows: DataFrame, x: str = "x", negated=NEGATED_BY_X_FLIP) -> Dat
     return rows.withColumn("__v", vals).withColumn("__x", coords).drop("vals", x).withColumnRenamed("__v", "vals").withColumnRenamed("__x", x)
 
 
+def _picked(name: str) -> Column:
+    return F.transform("__k", lambda k: F.get(F.col(name), k))
+
+
 def mirror_heaters(heaters: DataFrame) -> DataFrame:
     """Nucleation sites off the axis gain images, in reversed order before the originals; x is negated."""
     off = F.expr("filter(transform(nuc_sites_x, (x, k) -> struct(abs(x) > 1e-8 AS o, k)), s -> s.o)")
@@ -38,7 +42,7 @@ def mirror_heaters(heaters: DataFrame) -> DataFrame:
     out = heaters.withColumn("__k", images)
     for name in ("nuc_sites_y", "nuc_sites_z", "nuc_seed_radii"):
         if name in heaters.columns:
-            out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.concat(F.transform("__k", lambda k, c=name: F.get(F.col(c), k)), name)))
+            out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.concat(_picked(name), name)))
     return out.withColumn("nuc_sites_x", F.concat(F.transform("__k", lambda k: -F.get("nuc_sites_x", k)), "nuc_sites_x")).drop("__k")
 
 

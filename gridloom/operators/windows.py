@@ -114,7 +114,7 @@ def stack_cells(values: Sequence[str], x_faces: Sequence[str] = (), y_faces: Seq
     for c in channels[1:]:
         same = same & (F.size(c) == F.size(first))
     stacked = F.transform(first, lambda _, i: F.array(*[F.get(c, i) for c in channels]))
-    return F.when(same, stacked).otherwise(F.raise_error(F.lit("stacked fields need one shape")).cast("array<array<double>>"))
+    return F.when(first.isNotNull() & F.coalesce(same, F.lit(False)), stacked).when(first.isNotNull(), F.raise_error(F.lit("stacked fields need one shape")).cast("array<array<double>>"))  # no line, no cells
 
 
 def unstack_faces(low, high) -> Column:
