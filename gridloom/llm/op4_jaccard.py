@@ -11,13 +11,13 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
    has between n/4 and n/2 groups (64 at least), so that counts fit in 4 bits and the bound stays tight at every size;
    the number is a power of two, and points of different sizes compare after the longer one is folded.
 4. First round: within each shingle's bucket, in size order, each class and the first of a fitting size become a
-   candidate; its bound is checked, then its sets; links merge classes into components.
+   candidate if they meet in many buckets; its bound is checked, then its sets; links merge classes into components.
 5. Buckets that still hold several components of fitting sizes get an R-tree: points sorted by size and packed into
    leaves with bounding boxes; boxes, then points, are paired if the bound of minima allows a link and their components
    differ. Second round: of all such pairs of a bucket the forest with the highest bounds is verified and merged, so a
-   group of near copies costs a forest, not all its pairs. Third round: the rows that had any such pair are searched
-   again, and every pair whose components still differ is verified with whole sets. Links inside a component can't
-   change it, so none is lost.
+   group of near copies costs a forest, not all its pairs. Third round: every such pair lies in a cluster that the
+   forests' edges connect; clusters that still hold several components are searched once, in tiles, and every pair whose
+   components still differ is verified with whole sets. Links inside a component can't change it, so none is lost.
 
 Cases: a null or empty text, or one without words, has size 0 and is its own component; fewer than 5 words make one
 shingle of the whole sequence; repeated rows are equal sets; empty tables give empty results.
@@ -35,6 +35,9 @@ from gridloom.llm.components import connected_components
 
 K, LEAST_GROUPS, LEAF = 5, 64, 32
 HOT_PART = 1000
+#: Stars of the first round meet in at least one of STAR_PART of the larger set's shingles: it only has to find most links.
+STAR_PART = 12
+BLOCK = 2048
 #: Packed pairs: shingle, class.
 PAIR = np.dtype([("key", "<u8"), ("id", "<u8")])
 
@@ -209,9 +212,9 @@ def _stars(batches):
             more = reach < ends
             open_rows, ends = reach[more], ends[more]
         ok = center != np.arange(len(key))
-        pairs = np.column_stack([ids[center[ok]], ids[ok]])
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = np.column_stack([np.sort(np.column_stack([ids[center[ok]], ids[ok]]), axis=1), n[ok]])
+        pairs, times = np.unique(pairs, axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(pairs[:, 2].copy()), pa.array(times)], names=["a", "b", "n", "times"])
 
 
 def _fitting(batches):
@@ -309,24 +312,21 @@ def _buckets(t: pa.Table):
 
 
 def _chains(batches):
-    """Kind 1: the best-bounded forest of each bucket's possible links. Kind 0: (shingle, class) rows that have any."""
+    """The best-bounded forest of each bucket's possible links."""
     for t in _slices(batches, "key"):
-        kinds, left, right = [], [], []
-        for key, ids, n, comp, points in _buckets(t):
-            kept = [np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)]
-            some, waiting = np.zeros(len(ids), dtype=bool), []
-            for x, y, score in tree_pairs(points, n, comp):
-                some[x] = some[y] = True
-                waiting.append((x, y, score))
+        out = []
+        for _, ids, n, comp, points in _buckets(t):
+            kept, waiting = [np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)], []
+            for found in tree_pairs(points, n, comp):
+                waiting.append(found)
                 if sum(len(w[0]) for w in waiting) > 500_000:
                     kept, waiting = _best(len(ids), kept, waiting), []
             a, b, _ = _best(len(ids), kept, waiting)
-            rows = np.flatnonzero(some)
-            kinds += [1] * len(a) + [0] * len(rows)
-            left += [np.minimum(ids[a], ids[b]), np.full(len(rows), key)]
-            right += [np.maximum(ids[a], ids[b]), ids[rows]]
-        if kinds:
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["kind", "a", "b"])
+            if len(a):
+                out.append(np.sort(np.column_stack([ids[a], ids[b]]), axis=1))
+        if out:
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
 def _best(n: int, kept: list, waiting: list) -> list:
@@ -335,22 +335,36 @@ def _best(n: int, kept: list, waiting: list) -> list:
     return [a[chosen], b[chosen], score[chosen]]
 
 
-def _searched(batches):
-    """All possible links between components, each once for its slice."""
-    for t in _slices(batches, "key"):
-        out = []
-        for _, ids, n, comp, points in _buckets(t):
-            for x, y, _ in tree_pairs(points, n, comp):
-                out.append(np.sort(np.column_stack([ids[x], ids[y]]), axis=1))
-        if out:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+def _tile(t: pa.Table) -> pa.Table:
+    """The possible links between components in a tile of one or two blocks of a cluster."""
+    t = t.combine_chunks()
+    ids, n, comp, block = (t.column(c).to_numpy() for c in ("id", "n", "comp", "block"))
+    across, out = t.column("ta")[0] != t.column("tb")[0], [np.zeros((0, 2), dtype=np.int64)]
+    for x, y, _ in tree_pairs([unpacked(v) for v in t.column("blob").to_pylist()], n, comp):
+        if across:
+            apart = block[x] != block[y]
+            x, y = x[apart], y[apart]
+        out.append(np.sort(np.column_stack([ids[x], ids[y]]), axis=1))
+    pairs = np.concatenate(out)
+    return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+
+def _left_pairs(chains: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): every possible link between components. All lie inside the clusters that the forests' edges, linking or
+    not, connect; a cluster is searched once, in tiles of two blocks of at most about BLOCK classes."""
+    clusters = connected_components(chains, "a", "b")
+    at = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
+    at = table(at.select("id", "cluster", F.coalesce("component", "id").alias("comp")))
+    sizes = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = at.join(sizes, "cluster").join(classes, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
+    tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("ta", F.least("block", "other")).withColumn("tb", F.greatest("block", "other"))
+    return tiles.select("cluster", "ta", "tb", "id", "n", "comp", "block", "blob").groupBy("cluster", "ta", "tb").applyInArrow(_tile, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose count vectors allow a link."""
     side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("blob").alias(f"v{s}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
         for b in batches:
@@ -423,22 +437,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     classes = table(spread.where("kind = 0").groupBy("id").agg(F.min("n").alias("n"), F.min("blob").alias("blob")))
     shared = spread.where("kind = 1").select("key", "id")
     sized = table(shared.join(classes.select("id", "n"), "id"))
-    near = map_arrow(sized.repartition(parts, "key").sortWithinPartitions("key"), _stars, "a long, b long")
-    first_round = table(_bounded(near, classes))
+    near = map_arrow(sized.repartition(parts, "key").sortWithinPartitions("key"), _stars, "a long, b long, n long, times long")
+    near = near.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("times").alias("times")).where(F.col("times") * STAR_PART >= F.col("n"))
+    first_round = table(_bounded(near.select("a", "b"), classes))
     release(spark)
     links = _verified(docs, first_round, members)
     comp = connected_components(links, "a", "b")
     release(spark)
     spots = _spots(sized, comp, classes, parts)
-    chained = table(map_arrow(spots, _chains, "kind int, a long, b long"), "kind")
+    chains = table(map_arrow(spots, _chains, "a long, b long").distinct())
     release(spark)
-    second = _verified(docs, chained.where("kind = 1").select("a", "b").distinct(), members)
-    links = table(links.unionByName(second))
+    links = table(links.unionByName(_verified(docs, chains, members)))
     comp = connected_components(links, "a", "b")
     release(spark)
-    open_rows = chained.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("id"))
-    spots = _spots(open_rows.join(classes.select("id", "n"), "id"), comp, classes, parts)
-    across = table(map_arrow(spots, _searched, "a long, b long").distinct())
+    across = table(_left_pairs(chains, comp, classes))
     release(spark)
     more = _verified(docs, across, members)
     comp = connected_components(links.unionByName(more), "a", "b")
