@@ -20,7 +20,8 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
    components still differ is verified with whole sets. Links inside a component can't change it, so none is lost.
 
 Cases: a null or empty text, or one without words, has size 0 and is its own component; fewer than 5 words make one
-shingle of the whole sequence; repeated rows are equal sets; empty tables give empty results.
+shingle of the whole sequence; repeated rows are equal sets; a row with a null doc_id links with nothing (its
+component is null); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -431,7 +432,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = members.where("n > 0").count()
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= max(8, total / HOT_PART)).select("a")
     hot = np.sort(np.array([r.a for r in often.collect()], dtype=np.int64).view(np.uint64))  # bounded, see above
-    spread = map_arrow(texts, _prefixes(spark.sparkContext.broadcast(hot), parts), _ROW)
+    spread = map_arrow(texts.where("doc_id IS NOT NULL"), _prefixes(spark.sparkContext.broadcast(hot), parts), _ROW)
     spread = table(map_arrow(dealt(spread, "bucket"), _shared, "kind int, key long, id long, n long, blob binary"), "kind")
     release(spark)
     classes = table(spread.where("kind = 0").groupBy("id").agg(F.min("n").alias("n"), F.min("blob").alias("blob")))
@@ -456,11 +457,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     comp = connected_components(links.unionByName(more), "a", "b")
     release(spark)
     # classes -> documents
-    named = members.where("n > 0").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    named = members.where("n > 0 AND doc_id IS NOT NULL").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     own = table(named.select("h1", "component").distinct().join(least, "component").select("h1", "component_id"))
     out = members.join(own, "h1", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

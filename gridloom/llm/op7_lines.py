@@ -11,7 +11,8 @@
 Only flagged positions travel to the documents; texts are cut and rebuilt natively.
 
 Cases: a null text has no lines and stays null (kept digest of nothing); an empty text stays empty; a null site is a
-site of its own; a repeated line counts once for each site; repeated rows are treated alike; tables may be empty.
+site of its own; a repeated line counts once for each site; repeated rows are treated alike; the lines of rows with a null doc_id
+count, but stay; tables may be empty.
 """
 
 from __future__ import annotations
@@ -48,17 +49,20 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return table(sure.unionByName(exact))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """All columns of docs with the boilerplate lines taken out of text, and n_lines, n_removed (long)."""
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of docs with the boilerplate lines taken out of text, then the counts of lines and of removed lines
+    (long) under the names given; a column of docs with such a name gives way."""
     keyed = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
     spread = spread_lines(keyed, min_sites).select("h")
     flagged = join_checked(_exploded(keyed).select("doc_id", "pos", "h"), spread, "h", "left_semi")
-    gone = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(gone, "doc_id", "left")
-    lines = joined.withColumn("n_lines", F.expr(f"cast(coalesce(size(filter({_LINES}, x -> x <> '')), 0) AS long)"))
-    lines = lines.withColumn("n_removed", F.expr("cast(CASE WHEN coalesce(size(__gone), 0) * 2 > n_lines THEN 0 ELSE coalesce(size(__gone), 0) END AS long)"))
-    cut = "array_join(transform(filter(zip_with(split(text, '\\n', -1), sequence(0, size(split(text, '\\n', -1)) - 1), (x, i) -> struct(x, i)), y -> NOT array_contains(__gone, y.i)), y -> y.x), '\\n')"
-    return lines.withColumn("text", F.expr(f"CASE WHEN n_removed > 0 THEN {cut} ELSE text END")).drop("__gone").select(*docs.columns, "n_lines", "n_removed")
+    gone = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    packed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    lines = packed.join(gone, "doc_id", "left").withColumn("n", F.expr(f"cast(coalesce(size(filter({_LINES}, x -> x <> '')), 0) AS long)"))
+    lines = lines.withColumn("k", F.expr("cast(CASE WHEN coalesce(size(gone), 0) * 2 > n THEN 0 ELSE coalesce(size(gone), 0) END AS long)"))
+    cut = "array_join(transform(filter(zip_with(split(text, '\\n', -1), sequence(0, size(split(text, '\\n', -1)) - 1), (x, i) -> struct(x, i)), y -> NOT array_contains(gone, y.i)), y -> y.x), '\\n')"
+    text = F.expr(f"CASE WHEN k > 0 THEN {cut} ELSE text END")
+    own = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in counts]
+    return lines.select(*own, F.col("n").alias(counts[0]), F.col("k").alias(counts[1]))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
