@@ -36,8 +36,8 @@ from gridloom.llm.common import _LANE, Words, _mix, dealt, map_arrow, shared_dir
 END_ID = 2
 CUT_MASK = np.uint64(511)
 MAX_CHUNK = 8192
-WORD_CACHE = 600_000
-ENCODE_BYTES = 1 << 20
+WORD_CACHE = 1_200_000
+ENCODE_BYTES = 2 << 20
 SENT = 200_000
 ADDRESS = 16
 
