@@ -78,10 +78,10 @@ def _survey(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
-def point(s: np.ndarray) -> bytes:
-    """The count vector of a set, two counts a byte."""
+def point(s: np.ndarray, fine: bool = False) -> bytes:
+    """The count vector of a set, two counts a byte: between n/4 and n/2 groups, or 8 to 16 times n if fine."""
     groups = LEAST_GROUPS
-    while groups * 4 < len(s):
+    while groups * 4 < len(s) or fine and groups < 8 * len(s):
         groups *= 2
     while (counts := np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)).max() > 15:
         groups *= 2
@@ -91,7 +91,7 @@ def point(s: np.ndarray) -> bytes:
 
 def unpacked(blob: bytes) -> np.ndarray:
     packed = np.frombuffer(blob, dtype=np.uint8)
-    return np.concatenate([packed & 15, packed >> 4]).astype(np.int32)
+    return np.concatenate([packed & 15, packed >> 4]).astype(np.int16)
 
 
 def fold(points: np.ndarray, groups: int) -> np.ndarray:
@@ -350,14 +350,17 @@ def _tile(t: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
 
-def _left_pairs(chains: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
+def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
     """(a, b): every possible link between components. All lie inside the clusters that the forests' edges, linking or
-    not, connect; a cluster is searched once, in tiles of two blocks of at most about BLOCK classes."""
+    not, connect; a cluster is searched once, in tiles of two blocks of at most about BLOCK classes, with points of so
+    many groups that few pairs pass that don't link."""
     clusters = connected_components(chains, "a", "b")
     at = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     at = table(at.select("id", "cluster", F.coalesce("component", "id").alias("comp")))
     sizes = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = at.join(sizes, "cluster").join(classes, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
+    rows = table(at.join(sizes, "cluster").join(classes.select("id", "n"), "id"))
+    fine = _from_texts(docs, rows.select("id"), members, lambda s: point(s, fine=True))
+    rows = rows.join(fine, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
     tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("ta", F.least("block", "other")).withColumn("tb", F.greatest("block", "other"))
     return tiles.select("cluster", "ta", "tb", "id", "n", "comp", "block", "blob").groupBy("cluster", "ta", "tb").applyInArrow(_tile, "a long, b long")
 
@@ -379,27 +382,27 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "na", "nb", "va", "vb"), run, "a long, b long")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, shingles) of the wanted classes, from the texts of their first documents."""
-    first = members.join(wanted.withColumnRenamed("id", "h1"), "h1", "left_semi").groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
+def _from_texts(docs: DataFrame, wanted: DataFrame, members: DataFrame, make) -> DataFrame:
+    """(id, blob): make(set) of the wanted classes, from the texts of their first documents."""
+    first = members.where("doc_id IS NOT NULL").join(wanted.withColumnRenamed("id", "h1"), "h1", "left_semi").groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
     texts = join_checked(text_only(docs), table(first.select("doc_id")), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
-            ids, sets = [], []
+            ids, blobs = [], []
             for _, s in shingle_sets(b.column("text")):
                 ids.append(set_hash(s))
-                sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(ids, dtype=np.uint64))), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                blobs.append(make(s))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.array(ids, dtype=np.uint64))), pa.array(blobs, pa.binary())], names=["id", "blob"])
 
-    return table(map_arrow(texts, run, "id long, shingles binary").dropDuplicates(["id"]))
+    return table(map_arrow(texts, run, "id long, blob binary").dropDuplicates(["id"]))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs that link, by the whole sets of their classes."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets_of(docs, ends, members)
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"s{s}"))
+    sets = _from_texts(docs, ends, members, lambda s: s.tobytes())
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("blob").alias(f"s{s}"))
 
     def run(batches):
         for b in batches:
@@ -451,7 +454,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = table(links.unionByName(_verified(docs, chains, members)))
     comp = connected_components(links, "a", "b")
     release(spark)
-    across = table(_left_pairs(chains, comp, classes))
+    across = table(_left_pairs(docs, chains, comp, classes, members))
     release(spark)
     more = _verified(docs, across, members)
     comp = connected_components(links.unionByName(more), "a", "b")
