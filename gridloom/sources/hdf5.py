@@ -2,6 +2,7 @@
 
 case_hdf5     one file a case: every dataset but time and the grid vectors is a field [frames, y, x]
 solver_dump   a directory of plot files: one partition a file, each giving its blocks
+heater_files  the heater files of such a directory
 
 Neither could be run where this was written (h5py wasn't there); their row mapping is tested with a stand-in module.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridloom.functions.fixed import FIELD_NAMES, PLOTFILE_PATTERN
+from gridloom.functions.fixed import FIELD_NAMES, HEATER_PATTERN, HEATER_SCALARS, PLOTFILE_PATTERN, WALL_TEMP
 
 GRID_NAMES = ("x_faces", "y_faces", "x_centers", "y_centers")
 FACES = ("fv_x", "fv_y")
@@ -105,6 +106,49 @@ class SolverDump(DataSource):
         return _DumpReader(self.options)
 
 
+class _HeaterReader(DataSourceReader):
+    def __init__(self, options):
+        folder = options["path"]
+        self.case = os.path.basename(os.path.normpath(folder))
+        self.files = [os.path.join(folder, n) for n in sorted(os.listdir(folder)) if re.search(HEATER_PATTERN, n)]
+
+    def partitions(self):
+        return [_Part(p, k) for k, p in enumerate(self.files)]
+
+    def read(self, partition: _Part) -> Iterator[tuple]:
+        import h5py
+
+        flat = lambda v: [float(x) for x in v[()].ravel()]
+        with h5py.File(partition.path, "r") as f:
+            own, site = f["heater"], f["site"]
+            scalars = {("wall_temp_fraction" if n == "wallTemp" else n): flat(own[n])[0] for n in HEATER_SCALARS if n in own}
+            yield self.case, partition.frame, WALL_TEMP, scalars, flat(site["x"]), flat(site["y"]), flat(site["z"]) if "z" in site else None, flat(f["init"]["radii"])
+
+
+class HeaterFiles(DataSource):
+    """The heater files of a dump directory: one row a heater, its scalars under today's names."""
+
+    @classmethod
+    def name(cls):
+        return "heater_files"
+
+    def schema(self):
+        return "case_id string, heater int, type string, scalars map<string,double>, nuc_sites_x array<double>, nuc_sites_y array<double>, nuc_sites_z array<double>, nuc_seed_radii array<double>"
+
+    def reader(self, schema):
+        return _HeaterReader(self.options)
+
+
+def write_case(path: str, fields: dict, time: list, grid: dict, parameters: str, units: str) -> None:
+    """One case file on the driver, for export of a case that fits it: datasets, time, grid vectors and JSON attributes."""
+    import h5py
+
+    with h5py.File(path, "w") as f:
+        f.attrs["parameters"], f.attrs["units"] = parameters, units
+        for name, data in (fields | {"time": time} | grid).items():
+            f.create_dataset(name, data=data)
+
+
 def register(spark: SparkSession) -> None:
-    for source in (CaseHdf5, SolverDump):
+    for source in (CaseHdf5, SolverDump, HeaterFiles):
         spark.dataSource.register(source)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.fixed import GRAVITY, HEATER_COUNT_PATTERN, HEATER_PATTERN, NON_DIMENSIONAL, PLOTFILE_PATTERN
+from gridloom.functions.fixed import BOUNDARY_KEYS, GRAVITY, HEATER_COUNT_PATTERN, HEATER_PATTERN, NON_DIMENSIONAL, PLOTFILE_PATTERN
 
 
 def decoded_table(names, values) -> Column:
@@ -47,6 +49,32 @@ def non_dimensional(runtime: DataFrame) -> DataFrame:
     return have.unionByName(absent)
 
 
+def boundary_types(runtime: DataFrame) -> DataFrame:
+    """(case_id, side, type) from the runtime parameters."""
+    sides = runtime.sparkSession.createDataFrame([(key, side) for side, key in BOUNDARY_KEYS.items()], "name string, side string")
+    return runtime.join(F.broadcast(sides), "name").select("case_id", "side", F.trim("value").alias("type"))
+
+
+def discretization(runtime: DataFrame, layout: DataFrame) -> DataFrame:
+    """One row a case from runtime parameters (case_id, name, value) and block places (case_id, block, x_low, ..., n_rows)
+    with the cells of a block (nx_block, ny_block)."""
+    at = lambda n, kind: F.max(F.when(F.col("name") == n, F.trim("value"))).cast(kind)
+    stated = runtime.groupBy("case_id").agg(at("geometry", "string").alias("geometry"), at("plotfileintervaltime", "double").alias("dt"), at("tinitial", "double").alias("t_initial"), at("tmax", "double").alias("t_final"))
+    box = layout.groupBy("case_id").agg(
+        F.max("n_cols").alias("num_blocks_x"), F.max("n_rows").alias("num_blocks_y"), F.max("nx_block").alias("nx_block"), F.max("ny_block").alias("ny_block"),
+        F.min("x_low").alias("x_min"), F.max("x_high").alias("x_max"), F.min("y_low").alias("y_min"), F.max("y_high").alias("y_max"),
+    )
+    return stated.join(box, "case_id")
+
+
+def case_folders(folder: str, prefix: str = "") -> list[str]:
+    """Case directories under a folder, sorted; none is an error."""
+    found = sorted(e.path for e in os.scandir(folder) if e.is_dir() and e.name.startswith(prefix))
+    if not found:
+        raise FileNotFoundError(f"no case directories {prefix}* in {folder}")
+    return found
+
+
 def listed_files(paths: DataFrame, kind: str = "plot") -> DataFrame:
     """(path, frame): the files of a kind by the end of their names, numbered in name order."""
     picked = paths.where(F.col("path").rlike(PLOTFILE_PATTERN if kind == "plot" else HEATER_PATTERN))
