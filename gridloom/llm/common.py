@@ -140,14 +140,14 @@ class Words:
 def sequence_hash(words: np.ndarray, lane: int = 0) -> int:
     """64 bits of a whole word sequence, its length included."""
     up, _ = _powers(len(words) + 1)
-    value = (words * up[1 : len(words) + 1]).sum(dtype=np.uint64) * _LANE[40 + lane] + np.uint64(len(words))
-    return int(_mix(np.array([value + _LANE[50 + lane]], dtype=np.uint64))[0])
+    value = (words * up[1 : len(words) + 1]).sum(dtype=np.uint64, keepdims=True) * _LANE[40 + lane] + np.uint64(len(words))
+    return int(_mix(value + _LANE[50 + lane])[0])
 
 
 def set_hash(unique: np.ndarray, lane: int = 0) -> int:
     """64 bits of a set of 64-bit ids."""
     mixed = _mix((unique + _LANE[42 + lane]) * _LANE[44 + lane])
-    return int(_mix(np.array([mixed.sum(dtype=np.uint64) + np.uint64(len(unique)) * _LANE[46 + lane]], dtype=np.uint64))[0])
+    return int(_mix(mixed.sum(dtype=np.uint64, keepdims=True) + np.array([len(unique)], dtype=np.uint64) * _LANE[46 + lane])[0])
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
