@@ -129,7 +129,8 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def count_votes(found: DataFrame) -> DataFrame:
     """How often each (kind, votes, length bucket) occurs in all documents: at most 8 * 27 * 10 rows."""
-    return found.select(F.explode("spans").alias("x")).groupBy("x.k", "x.vr", "x.vg", "x.vc", "x.nb").count()
+    # the outer form, as for the inner one the optimizer would filter on the whole span expression below every projection
+    return found.select(F.explode_outer("spans").alias("x")).where("x IS NOT NULL").groupBy("x.k", "x.vr", "x.vg", "x.vc", "x.nb").count()
 
 
 class SpanModel:
