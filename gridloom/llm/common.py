@@ -77,6 +77,9 @@ _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _LANE = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII signs.
+WORD_BREAKS = _SEP.copy()
+WORD_BREAKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -108,9 +111,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
 class Words:
     """The words of some whole texts as arrays: byte spans, 64-bit ids, and each document's first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool | None):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool | None, separators: np.ndarray = _SEP):
         """lower: whether A-Z count as a-z; None leaves the ids out."""
-        sep = _SEP[data]
+        sep = separators[data]
         start = ~sep
         start[1:] &= sep[:-1] | False
         stop = ~sep

@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of non-white bytes, A-Z in lower case. Each fixed mask picks the kept positions of a span of words and
+Words are runs without white space or ASCII signs, in lower case (Unicode). Each fixed mask picks the kept positions of a span of words and
 ignores the others, so a seed survives substitutions at the ignored ones. The seeds of all benchmark items form a
 sorted hash table; every seed of every document is looked up there (a bitmap first), and each hit fixes a diagonal
 (document position minus item position). On it the whole item is compared word by word: the item is leaked if some
@@ -20,10 +20,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _LANE, Words, _mix, map_arrow, text_chunks, text_only
+from gridloom.llm.common import _LANE, WORD_BREAKS, Words, _mix, map_arrow, text_chunks, text_only
 
 # Fixed masks: 1 counts, 0 is ignored.
 MASKS = ("1111011", "1101101101", "1011001110011", "110100110010101")
@@ -44,6 +45,12 @@ def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return _mix(out)
 
 
+def _words(column: pa.Array):
+    """(first row, words) of a string column in parts."""
+    for first, _, data, offsets in text_chunks(pc.utf8_lower(column)):
+        yield first, Words(data, offsets, lower=False, separators=WORD_BREAKS)
+
+
 def _masks_of(n_words: int) -> list[str]:
     fitting = [m for m in MASKS if len(m) <= n_words]
     return fitting or ["1" * n_words]
@@ -57,8 +64,7 @@ class SeedIndex:
         self.words: list[np.ndarray] = []
         seeds: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for item_id, text in items:
-            raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            words = Words(raw, np.array([0, len(raw)]), lower=True).hash if len(raw) else np.zeros(0, dtype=np.uint64)
+            words = next((w.hash for _, w in _words(pa.array([text or ""]))), np.zeros(0, dtype=np.uint64))
             if len(words) < MIN_WORDS:
                 continue
             for mask in _masks_of(len(words)):
@@ -77,8 +83,7 @@ class SeedIndex:
     def leaks(self, column: pa.Array) -> list[dict[int, float]]:
         """For each text the leaked items with their best window share."""
         out: list[dict[int, float]] = [{} for _ in range(len(column))]
-        for first, _, data, offsets in text_chunks(column):
-            words = Words(data, offsets, lower=True)
+        for first, words in _words(column):
             pairs = []
             for mask, (h, item, at, bitmap) in self.tables.items():
                 seeds = _seeds(words.hash, mask)

@@ -434,7 +434,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "h1", "h2")
     total = members.where("n > 0").count()
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= max(8, total / HOT_PART)).select("a")
-    hot = np.sort(np.array([r.a for r in often.collect()], dtype=np.int64).view(np.uint64))  # bounded, see above
+    hot = np.sort(often.toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))  # bounded, see above
     spread = map_arrow(texts.where("doc_id IS NOT NULL"), _prefixes(spark.sparkContext.broadcast(hot), parts), _ROW)
     spread = table(map_arrow(dealt(spread, "bucket"), _shared, "kind int, key long, id long, n long, blob binary"), "kind")
     release(spark)

@@ -225,11 +225,13 @@ def test_op10_tolerates_substitutions(spark, docs):
     changed = list(words)
     changed[5], changed[15] = "x", "y"
     far = [w if k % 2 else f"z{k}" for k, w in enumerate(words)]
-    planted = [(2000, "pre " + " ".join(words) + " post"), (2001, " ".join(changed).upper()), (2002, " ".join(far)), (2003, " ".join(words[:8])), (2004, "a five short words right here b"), (2005, "one two three")]
+    words[3], changed[3], far[3] = "École", "École", "École"
+    items[0] = items[5] = (1, " ".join(words))
+    planted = [(2006, "!! ".join(words).upper() + "!!"), (2000, "pre " + " ".join(words) + " post"), (2001, " ".join(changed).upper()), (2002, " ".join(far)), (2003, " ".join(words[:8])), (2004, "a five short words right here b"), (2005, "one two three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (20_000, 2):
         got = rows(op10_decontaminate.decontaminate(frame(spark, docs + planted), bench, block), "doc_id", "contaminated", "item_ids")
-        assert {i: v[1] for i, v in got.items() if v[0]} == {2000: [1], 2001: [1], 2004: [5]}
+        assert {i: v[1] for i, v in got.items() if v[0]} == {2000: [1], 2001: [1], 2004: [5], 2006: [1]}
     kept = op10_decontaminate.filter_contaminated(frame(spark, docs + planted), bench)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, _ in docs} | {2002, 2003, 2005}
     assert not any(v[0] for v in rows(op10_decontaminate.decontaminate(frame(spark, docs), bench.limit(0)), "doc_id", "contaminated").values())
