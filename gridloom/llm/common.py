@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -175,10 +177,35 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+#: Bytes of an Arrow batch, unless the session names a number of its own.
+BATCH_BYTES = "16m"
+
+
+def _give_back() -> None:
+    """Returns what a finished task left free in a worker, which stays for the next task, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on the workers, and Arrow batches of a bounded size even where every text is very long."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow whose function may import this package on the executors."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    prepare(df.sparkSession)
+
+    def run(batches):
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import prepare, table
 from gridloom.llm.components import connected_components
-from gridloom.session import ship_package
 
 THRESHOLD = 0.93
 BLOCK = 1024
@@ -105,7 +104,7 @@ def _tile(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of vectors."""
-    ship_package(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = "label IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> coalesce(NOT isnan(x) AND abs(x) <> double('Infinity'), false)) AND exists(embedding, x -> x <> 0) AND vec_id IS NOT NULL"
     fit = rows.where(finite)

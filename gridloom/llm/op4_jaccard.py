@@ -261,7 +261,9 @@ def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray):
             g = min(mine.shape[1], theirs.shape[1])
             if 7 * np.minimum(fold(tops[i], g), fold(tops[j], g)).sum() < 3 * (least[i] + least[j]):
                 continue
-            overlap = np.minimum(fold(mine, g)[:, None], fold(theirs, g)).sum(axis=2)
+            left, right = fold(mine, g), fold(theirs, g)
+            step = max(1, (2 << 20) // right.size)  # a few MB at a time, however long the points
+            overlap = np.concatenate([np.minimum(left[k : k + step, None], right).sum(axis=2, dtype=np.int64) for k in range(0, len(left), step)])
             total = sizes[own][:, None] + sizes[far]
             x, y = np.nonzero((place[own][:, None] != place[far]) & (7 * overlap >= 3 * total))
             if i == j:
