@@ -418,9 +418,10 @@ _FSTATS = "st AS (SELECT field, avg(value) AS m, stddev_pop(value) AS s FROM fie
 
 
 def _normalizer(spark, d, **options):
+    """Over the fields' statistics alone; a configuration's are computed where one is normalized."""
     stats = statistics.value_statistics(a.fields(spark, d), "field")
-    params = statistics.config_statistics(cfg.config_params(a.config_cases(spark, d)))
-    return normalize.Normalizer.from_tables(stats, params, **options)
+    none = spark.createDataFrame([], "path string, count long, mean double, std double, min double, max double")
+    return normalize.Normalizer.from_tables(stats, none, **options)
 
 
 @query(f"WITH {a.FIELDS_SQL}, {_FSTATS} SELECT case_id, field, count(*) AS n, round(avg((value - m) / s), 5) AS mean, round(min((value - m) / s), 6) AS low, round(max((value - m) / s), 6) AS high FROM fields JOIN st USING (field) GROUP BY ALL")
@@ -451,7 +452,9 @@ SELECT case_id, 'non_dimensional' AS grp, 0 AS entry, 'k' AS name, round((v - o)
 UNION ALL SELECT event_id, 'heaters', CAST(x AS INT), 'wall_temp_fraction', 2.0 * x - 1 FROM events, range(2) t(x) WHERE props IS NOT NULL
 UNION ALL SELECT event_id, 'physical', 0, 'bulk_temp', 0.0 FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, 'discretization', 0, 'nx_block', 16.0 FROM events WHERE props IS NOT NULL""")
 def normalize_config_minmax(spark, d):
-    z = _normalizer(spark, d).normalize_config(cfg.config_params(a.config_cases(spark, d)))
+    params = cfg.config_params(a.config_cases(spark, d))
+    none = spark.createDataFrame([], "field string, count long, mean double, std double, min double, max double")
+    z = normalize.Normalizer.from_tables(none, statistics.config_statistics(params)).normalize_config(params)
     return z.where("kind = 'number'").select("case_id", "grp", F.col("entry").cast("int").alias("entry"), "name", r6("value").alias("value"))
 
 
