@@ -44,7 +44,7 @@ ADDRESS = 16
 
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 white, 1 ASCII letter, 2 sign, 3 anything else
 _KIND[[9, 10, 11, 12, 13, 32]], _KIND[65:91], _KIND[97:123] = 0, 1, 1
-_KIND[list(b".,;:!?")] = 2
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum()]] = 2
 
 
 def split_pieces(data: np.ndarray, offsets: np.ndarray):
