@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +20,15 @@ from gridloom.session import ship_package
 
 MAX_FRAMES = 4000
 FAN_IN = 16
+#: Values of the cells (or triangles) that one task of case_triangles takes in at a time; triangles merged at a time.
+PART_VALUES, MERGED = 4_000_000, 4
 
 
-def snapshot_rows(rows: DataFrame) -> DataFrame:
-    """(j, i, x array<double> by frame) of one case's field: one row a cell."""
-    cells = rows.select("frame", "j", F.posexplode("vals").alias("i", "v"))
+def snapshot_rows(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, j, i, x array<double> by frame) of one field, of one case or by keys: one row a cell."""
+    cells = rows.select(*keys, "frame", "j", F.posexplode("vals").alias("i", "v"))
     series = F.transform(F.array_sort(F.collect_list(F.struct("frame", "v"))), lambda s: s["v"])
-    return cells.groupBy("j", "i").agg(series.alias("x"))
+    return cells.groupBy(*keys, "j", "i").agg(series.alias("x"))
 
 
 def without_mean(snapshots: DataFrame) -> DataFrame:
@@ -95,8 +98,11 @@ class Decomposition:
 
 def decompose(snapshots: DataFrame, dt: float, rank: int) -> Decomposition:
     """snapshots (x by frame, mean removed or not); rank is capped by the singular values above rounding."""
-    cells = snapshots.count()
-    r = triangle(snapshots)
+    return decompose_triangle(triangle(snapshots), snapshots.count(), dt, rank)
+
+
+def decompose_triangle(r: np.ndarray, cells: int, dt: float, rank: int) -> Decomposition:
+    """The decomposition of the snapshots of so many cells whose QR has the triangle r."""
     before, after = r[:, :-1], r[:, 1:]
     u, s, vh = np.linalg.svd(before, full_matrices=False)
     tolerance = s[0] * max(cells, before.shape[1]) * np.finfo(float).eps if s.size else 0.0
@@ -152,6 +158,60 @@ def relative_error(made: DataFrame, snapshots: DataFrame) -> DataFrame:
     return cells.agg((F.sqrt(F.sum(d * d)) / F.sqrt(F.sum(F.col("c.y") * F.col("c.y")))).alias("error"))
 
 
+def _reduced(table: pa.Table) -> pa.Table:
+    """Rows of one case and part as their triangle; cells and square are summed on its first row."""
+    x = table["x"].combine_chunks()
+    r = np.linalg.qr(np.asarray(x.flatten().to_numpy(zero_copy_only=False)).reshape(len(x), -1), mode="r")
+    if r.size > MAX_FRAMES**2:
+        raise ValueError(f"{r.shape[1]} frames are more than the {MAX_FRAMES} whose triangle a task takes")
+    first = [[pc.sum(table[c]).as_py(), *[0] * (len(r) - 1)] for c in ("cells", "square")]
+    keys = [pa.array([table[c][0].as_py()] * len(r), table.schema.field(c).type) for c in ("case_id", "part")]
+    return pa.table([*keys, pa.array(first[0], pa.int64()), pa.array(first[1], pa.float64()), pa.array(list(r), pa.list_(pa.float64()))], names=["case_id", "part", "cells", "square", "x"])
+
+
+def case_triangles(snapshots: DataFrame) -> DataFrame:
+    """(case_id, part, cells, square, x): the rows of the triangle of each case's snapshots, with the number of its cells
+    and the sum of its squared values (means included) on the first. Cases are reduced in parts, MERGED of which meet at a
+    time; a case may have more than MAX_FRAMES frames as long as its triangle (cells x frames where cells are fewer) has no
+    more than MAX_FRAMES ** 2 values, else it is an error."""
+    ship_package(snapshots.sparkSession)
+    whole = F.transform("x", lambda v: v + F.col("mean")) if "mean" in snapshots.columns else F.col("x")
+    square = F.aggregate(whole, F.lit(0.0), lambda a, v: a + v * v)
+    values = snapshots.groupBy("case_id").agg(F.sum(F.size("x")).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-values // PART_VALUES) or 1
+    r = snapshots.select("case_id", F.expr(f"cast(pmod(xxhash64(j, i), {parts}) AS int)").alias("part"), F.lit(1).cast("long").alias("cells"), square.alias("square"), "x")
+    r = r.groupBy("case_id", "part").applyInArrow(_reduced, r.schema)
+    while parts > 1:
+        parts = -(-parts // MERGED)
+        r = r.withColumn("part", F.expr(f"cast(part % {parts} AS int)"))
+        r = r.groupBy("case_id", "part").applyInArrow(_reduced, r.schema)
+    return r
+
+
+def decompose_cases(snapshots: DataFrame, dt: float, rank: int) -> DataFrame:
+    """(case_id, num_frames, singular_values, error): each case of the snapshots (case_id, j, i, x by frame) decomposed by
+    itself over all its frames on the executors, and the relative error of its reconstruction. The triangle has the norms of
+    the cells, so the error is taken there; the means cancel in the difference and count in the data's norm."""
+
+    def run(table):
+        x = table["x"].combine_chunks()
+        r = np.asarray(x.flatten().to_numpy(zero_copy_only=False)).reshape(len(x), -1)
+        frames = r.shape[1]
+        values, made = np.zeros(0), np.zeros_like(r)
+        if frames > 1:
+            r = np.linalg.qr(r, mode="r")  # the group's rows come in any order
+            d = decompose_triangle(r, pc.sum(table["cells"]).as_py(), dt, rank)
+            values = d.singular_values
+            made = ((r[:, 1:] @ d.projection) @ (d.amplitudes[:, None] * d.eigenvalues[:, None].astype(complex) ** np.arange(frames))).real
+        size = np.sqrt(pc.sum(table["square"]).as_py())
+        error = np.linalg.norm(made - r) / size if size else None
+        return pa.table([table["case_id"].slice(0, 1), pa.array([frames]), pa.array([values.tolist()], pa.list_(pa.float64())), pa.array([error], pa.float64())], names=["case_id", "num_frames", "singular_values", "error"])
+
+    r = case_triangles(snapshots)
+    kind = r.schema["case_id"].dataType.simpleString()
+    return r.groupBy("case_id").applyInArrow(run, f"case_id {kind}, num_frames long, singular_values array<double>, error double")
+
+
 def time_step(frames: DataFrame) -> float:
     """The one case's mean step; fewer than two frames or uneven ones are an error."""
     found = uniform_step(frames).collect()

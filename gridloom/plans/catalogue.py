@@ -527,22 +527,20 @@ def blocks_assemble(spark, d):
 # --- decomposition, splits, augmentation: no SQL counterpart
 
 
-def _one_case(spark, d):
-    rows = a.grid(spark, d).where("case_id = 3 AND frame < 24")
-    return dmd.without_mean(dmd.snapshot_rows(rows))
+def _decomposed(spark, d):
+    snaps = dmd.snapshot_rows(a.grid(spark, d), "case_id")
+    return dmd.decompose_cases(dmd.without_mean(snaps), 1.0, 20)
 
 
 @query()
 def dmd_gram_spectrum(spark, d):
-    s = dmd.decompose(_one_case(spark, d), 1.0, 20).singular_values
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(s)], "k int, singular_value double")
+    found = _decomposed(spark, d).select("case_id", F.posexplode("singular_values").alias("k", "singular_value"))
+    return found.withColumn("singular_value", r6("singular_value"))
 
 
 @query()
 def dmd_reconstruct_error(spark, d):
-    snaps = _one_case(spark, d).persist()
-    found = dmd.decompose(snaps, 1.0, 20)
-    return dmd.relative_error(dmd.reconstruct(snaps, found, 24), snaps)
+    return _decomposed(spark, d).select("case_id", "num_frames", "error")
 
 
 @query()
