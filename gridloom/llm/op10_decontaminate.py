@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are runs without white space or ASCII signs, in lower case (Unicode). Each fixed mask picks the kept positions of a span of words and
-ignores the others, so a seed survives substitutions at the ignored ones. The seeds of all benchmark items form a
+ignores the others, so a seed survives substitutions at the ignored ones. The masks of an item length cover its rule:
+whichever words of a window are substituted, up to the share allowed, some mask fits in the window with all kept words
+equal, so no passage of the rule goes unseen (a test tries all patterns). The seeds of all benchmark items form a
 sorted hash table; every seed of every document is looked up there (a bitmap first), and each hit fixes a diagonal
 (document position minus item position). On it the whole item is compared word by word: the item is leaked if some
 window of min(WINDOW, item length) words has at least MIN_SHARE equal words.
@@ -9,8 +11,7 @@ window of min(WINDOW, item length) words has at least MIN_SHARE equal words.
 The benchmark is the stated query set. It goes out in blocks of at most BLOCK_ITEMS items (counted first), one pass
 over the documents for each block, so what is broadcast never grows beyond a block. Documents don't shuffle.
 
-Cases: a null or empty text leaks nothing; items of fewer than MIN_WORDS words match nothing; items of fewer words
-than a span use one seed of all their words; equal items are all reported; no benchmark rows, no leak; repeated
+Cases: a null or empty text leaks nothing; items of fewer than MIN_WORDS words match nothing; equal items are all reported; no benchmark rows, no leak; repeated
 documents give repeated results.
 """
 
@@ -26,11 +27,24 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import _LANE, WORD_BREAKS, Words, _mix, map_arrow, text_chunks, text_only
 
-# Fixed masks: 1 counts, 0 is ignored.
-MASKS = ("1111011", "1101101101", "1011001110011", "110100110010101")
+# Fixed masks by window length (1 counts, 0 is ignored): each family covers all substitutions that MIN_SHARE allows.
+MASKS = {
+    4: ("111", "1101", "1011"),
+    5: ("111", "1101"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("11011", "1111", "1100011"),
+    9: ("111011", "1001111", "11010011", "111101"),
+    10: ("111011", "11010011", "11111"),
+    11: ("1101011", "1110011"),
+    12: ("111011", "110100011", "11001011", "110111"),
+    13: ("111011", "1100001011", "110111"),
+}
 WINDOW, MIN_SHARE, MIN_WORDS = 13, 0.75, 4
 BLOCK_ITEMS = 20_000
 BITMAP_BITS = 22
+#: Hits and words that are compared at a time.
+SLICE = 1 << 20
 
 
 def _seeds(words: np.ndarray, mask: str) -> np.ndarray:
@@ -51,9 +65,13 @@ def _words(column: pa.Array):
         yield first, Words(data, offsets, lower=False, separators=WORD_BREAKS)
 
 
-def _masks_of(n_words: int) -> list[str]:
-    fitting = [m for m in MASKS if len(m) <= n_words]
-    return fitting or ["1" * n_words]
+def _slices(n: np.ndarray):
+    """(first, end) of runs of n whose sums are about SLICE, each of one at least."""
+    sums, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + SLICE, side="right")))
+        yield at, end
+        at = end
 
 
 class SeedIndex:
@@ -67,11 +85,14 @@ class SeedIndex:
             words = next((w.hash for _, w in _words(pa.array([text or ""]))), np.zeros(0, dtype=np.uint64))
             if len(words) < MIN_WORDS:
                 continue
-            for mask in _masks_of(len(words)):
+            for mask in MASKS[min(WINDOW, len(words))]:
                 h = _seeds(words, mask)
                 seeds.setdefault(mask, []).append((h, np.full(len(h), len(self.ids)), np.arange(len(h))))
             self.ids.append(item_id)
             self.words.append(words)
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate([*self.words, np.zeros(0, dtype=np.uint64)])
         self.tables = {}
         for mask, parts in seeds.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -84,36 +105,44 @@ class SeedIndex:
         """For each text the leaked items with their best window share."""
         out: list[dict[int, float]] = [{} for _ in range(len(column))]
         for first, words in _words(column):
-            pairs = []
-            for mask, (h, item, at, bitmap) in self.tables.items():
-                seeds = _seeds(words.hash, mask)
-                maybe = np.flatnonzero(bitmap[seeds >> np.uint64(64 - BITMAP_BITS)])
-                lo, hi = np.searchsorted(h, seeds[maybe], "left"), np.searchsorted(h, seeds[maybe], "right")
-                n = hi - lo
-                if n.sum():
-                    row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    pairs.append(np.column_stack([item[row], np.repeat(maybe, n) - at[row], np.repeat(maybe, n)]))
-            if not pairs:
+            found = [self._diagonals(words, mask) for mask in self.tables]
+            if not sum(map(len, found)):
                 continue
-            found = np.concatenate(pairs)
-            doc = np.searchsorted(words.first, found[:, 2], side="right") - 1
-            for d, i, shift in np.unique(np.column_stack([doc, found[:, :2]]), axis=0):
-                share = self._share(words, int(d), int(i), int(shift))
-                if share >= MIN_SHARE:
-                    best = out[first + int(d)]
-                    best[self.ids[i]] = max(best.get(self.ids[i], 0.0), share)
+            found = np.unique(np.concatenate(found), axis=0)
+            for lo, hi in _slices(self.size[found[:, 1]]):
+                shares = self._shares(words, *found[lo:hi].T)
+                for k in np.flatnonzero(shares >= MIN_SHARE):
+                    best, item_id = out[first + int(found[lo + k, 0])], self.ids[found[lo + k, 1]]
+                    best[item_id] = max(best.get(item_id, 0.0), float(shares[k]))
         return out
 
-    def _share(self, words: Words, doc: int, item: int, shift: int) -> float:
-        """The best share of equal words in a window of the item laid over the document at shift."""
-        own = self.words[item]
-        at = np.arange(len(own)) + shift
-        there = (at >= words.first[doc]) & (at < words.first[doc + 1])
-        equal = np.zeros(len(own) + 1, dtype=int)
-        equal[1:][there] = own[there] == words.hash[at[there]]
-        window = min(WINDOW, len(own))
-        sums = np.cumsum(equal)
-        return float((sums[window:] - sums[:-window]).max()) / window
+    def _diagonals(self, words: Words, mask: str) -> np.ndarray:
+        """(document, item, shift) of the mask's hits, each once."""
+        h, item, at, bitmap = self.tables[mask]
+        seeds = _seeds(words.hash, mask)
+        maybe = np.flatnonzero(bitmap[seeds >> np.uint64(64 - BITMAP_BITS)])
+        lo, hi = np.searchsorted(h, seeds[maybe], "left"), np.searchsorted(h, seeds[maybe], "right")
+        maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        doc, parts = np.searchsorted(words.first, maybe, side="right") - 1, [np.zeros((0, 3), dtype=np.int64)]
+        for a, b in _slices(n):
+            m = n[a:b]
+            row = np.repeat(lo[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            parts.append(np.unique(np.column_stack([np.repeat(doc[a:b], m), item[row], np.repeat(maybe[a:b], m) - at[row]]), axis=0))
+        return np.concatenate(parts)
+
+    def _shares(self, words: Words, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """The best share of equal words in a window of each item laid over its document at shift."""
+        size = self.size[item]
+        begin = np.cumsum(size) - size
+        k = np.arange(size.sum()) - np.repeat(begin, size)
+        at = k + np.repeat(shift, size)
+        there = (at >= np.repeat(words.first[doc], size)) & (at < np.repeat(words.first[doc + 1], size))
+        equal = np.zeros(len(k) + 1, dtype=np.int64)
+        equal[1:][there] = self.flat[(k + np.repeat(self.begin[item], size))[there]] == words.hash[at[there]]
+        sums, window = np.cumsum(equal), np.minimum(size, WINDOW)
+        fits = k + np.repeat(window, size) <= np.repeat(size, size)  # windows that begin here and end in the item
+        inside = np.where(fits, sums[np.minimum(np.arange(len(k)) + np.repeat(window, size), len(k))] - sums[:-1], 0)
+        return np.maximum.reduceat(inside, begin) / window
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
