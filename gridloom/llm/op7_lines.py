@@ -6,8 +6,8 @@
 3. A line spreads if the sketch's lower bound reaches min_sites, and doesn't if its upper bound stays below (three
    standard errors); lines in between get an exact distinct count over their (line, site) pairs.
 4. A line spreading over at least min_sites sites is boilerplate. It is removed wherever it stands, unless more than
-   half of a document's lines are boilerplate: then the document is itself a copy, which is left whole for
-   near-duplicate removal to judge.
+   half of a document's lines are boilerplate: then all its lines stay (as in ORACLE_SQL; nothing checks whether the
+   document is a copy).
 Only flagged positions travel to the documents; texts are cut and rebuilt natively.
 
 Cases: a null text has no lines and stays null (kept digest of nothing); an empty text stays empty; a null site is a
