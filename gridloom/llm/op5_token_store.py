@@ -8,7 +8,8 @@ wherever they stand. A chunk's address is the 16-byte BLAKE2b of its little-endi
   manifest/ shard, docs, tokens, first_start, root (Merkle root over the recipes' leaves, in order).
 Read: each payload is decompressed, its address recomputed, its crc taken once; recipes join chunks by address and
 the document's crc is combined from its chunks' crcs (the GF(2) rule of crc32), so payloads never travel again.
-verify() recomputes the Merkle roots from the recipes read back and compares them with the manifest.
+verify() recomputes the Merkle roots and counts from the recipes read back and compares them with the manifest;
+store_digests() calls it first and raises if they differ.
 
 Cases: a null or empty text is the end id alone; documents with equal ids keep a row each (rows are told apart by
 shard and idx; equal doc_ids follow one another in unspecified order); a null doc_id sorts first; an empty table
@@ -368,7 +369,9 @@ def _digests(batches):
 
 
 def store_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, n_chunks), all from the files of a store."""
+    """(doc_id, start, n_tokens, ids_crc32, n_chunks), all from the files of a store, whose manifest is verified first."""
+    if not verify(spark, path):
+        raise ValueError("the recipes differ from the store's manifest")
     recipes = read_recipes(spark, path).withColumn("n_chunks", F.expr(f"cast(length(addresses) / {ADDRESS} as long)"))
     split = f"transform(sequence(0, cast(n_chunks as int) - 1), i -> substring(addresses, i * {ADDRESS} + 1, {ADDRESS}))"
     used = recipes.select("shard", "idx", F.posexplode(F.expr(split)).alias("pos", "address"))
@@ -395,26 +398,30 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> bool:
-    """Whether the recipes on disk still give every shard's Merkle root."""
+    """Whether the recipes on disk still give every shard's Merkle root, document count and token count, in place."""
     ordered = spark.read.schema("shard int, idx long, doc_id long, start long, n_tokens long, addresses binary, manifest boolean").parquet(f"{path}/ordered")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        shard, tree, seen = None, Merkle(), []
+        shard, tree, docs, tokens, placed, seen = None, Merkle(), 0, 0, True, []
         for b in batches:
-            for s, d, a in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "addresses")), strict=True):
+            for s, i, d, at, n, a in zip(*(b.column(c).to_pylist() for c in ("shard", "idx", "doc_id", "start", "n_tokens", "addresses")), strict=True):
                 if s != shard and shard is not None:
-                    seen.append((shard, tree.root()))
-                    tree = Merkle()
-                shard = s
+                    seen.append((shard, tree.root(), docs, tokens, placed))
+                    tree, docs, tokens, placed = Merkle(), 0, 0, True
+                shard, placed = s, placed and (i, at) == (docs, tokens)
                 tree.add(_leaf(d, a))
+                docs, tokens = docs + 1, tokens + n
         if shard is not None:
-            seen.append((shard, tree.root()))
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in seen], pa.int32()), pa.array([r for _, r in seen], pa.binary())], names=["shard", "again"])
-
-    again = map_arrow(ordered.where("NOT manifest").select("shard", "idx", "doc_id", "addresses").repartition(parts, "shard").sortWithinPartitions("shard", "idx"), run, "shard int, again binary")
-    wrong = ordered.where("manifest").select("shard", F.col("addresses").alias("root")).join(again, "shard", "full_outer").where("root IS NULL OR again IS NULL OR root <> again")
-    return wrong.isEmpty()
+            seen.append((shard, tree.root(), docs, tokens, placed))
+        cols, kinds = list(zip(*seen, strict=True)) or [()] * 5, (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["shard", "again", "docs", "tokens", "placed"])
+
+    rows = ordered.where("NOT manifest").select("shard", "idx", "doc_id", "start", "n_tokens", "addresses")
+    again = map_arrow(rows.repartition(parts, "shard").sortWithinPartitions("shard", "idx"), run, "shard int, again binary, docs long, tokens long, placed boolean")
+    stated = ordered.where("manifest").select("shard", F.col("addresses").alias("root"), "idx", "n_tokens")
+    right = "coalesce(root = again AND idx = docs AND n_tokens = tokens AND placed, false)"
+    return stated.join(again, "shard", "full_outer").where(f"NOT {right}").isEmpty()
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
