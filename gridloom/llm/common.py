@@ -23,30 +23,58 @@ BYTE_SEED, ORDER_SEED = 20240117, 77001
 CHUNK_BYTES = 1 << 20
 
 
+#: Spark's own setting for shuffle files to go when an execution ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys are hot that hold more than one of HOT_KEYS parts of all rows: fewer than HOT_KEYS keys, however many rows.
+HOT_KEYS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir). Where none is set, a temporary one if everything runs on
+    this machine, and an error on a cluster, whose executors don't share one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         conf = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="gridloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def table(df: DataFrame, *partition_by: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read back: a lineage cut that survives lost executors."""
+    """df written as Parquet into the shared folder and read back: a lineage cut that survives lost executors. The shuffle
+    files of the writing go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that tables have cut off: they go once their plans are collected.
-    The last plan that ran stays reachable, so an empty one runs first."""
-    spark.range(1).collect()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of table() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: str | list[str], n: str) -> DataFrame:
+    """Inner join where `small`, a written table, has one row a key and says in its column n how many rows of `big` hold
+    the key. The rows of hot keys stay where they are, as their few rows of small (fewer than HOT_KEYS) are broadcast;
+    in the shuffle of the others no key holds more than one of HOT_KEYS parts of the rows."""
+    on = [on] if isinstance(on, str) else on
+    limit = (small.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    hot = small.where(F.col(n) > limit)
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(small.where(F.col(n) <= limit), on)
+    return big.join(F.broadcast(hot), on).unionByName(cold)
 
 
 def text_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,21 +1,28 @@
-"""Substring dedup over a sparse De Bruijn graph of word windows.
-
-A window of SPAN words is an edge between its two (SPAN-1)-word ends; an edge seen at several source coordinates is
-repeated, and every occurrence but the earliest marks its words for removal. Only edges that can repeat are built:
-1. Documents with equal word sequences are one class; all but the first of a class of SPAN words or more go whole.
-2. Each window has an anchor, the least of its SPAN-K+1 K-word ids. Equal windows have equal anchors, so a window whose
-   anchor stands in one place only cannot repeat. (anchor, class) pairs, about a sixth of the words, meet by anchor in
-   packed blobs; anchors of several classes, or at several places of one, go back to their classes.
-   Anchors shared within a task's batch are known there; only one class of each travels to meet other batches.
-3. Those classes' texts give the windows at shared anchors: edges (window id, document, start), met by window id. The
-   earliest coordinate stays; the others go to their documents. Of a batch only each window's earliest travels.
-4. In a document, edges that follow one another compact into paths (first start, last start): a path's words are one
-   span, start to last start + SPAN. Paths join the documents, whose words outside all spans are kept.
-
-Ids are 64-bit hashes (independent of each other in steps 1-3; the classes use two). Windows are judged on the input.
+"""Substring dedup by De Bruijn compaction over windows of words.
+
+A window of SPAN words is an edge between two nodes, its first and its last SPAN-1 words; the two nodes' 64-bit ids are
+the edge's id. An edge seen at several source coordinates (document, first word) is repeated, and all its occurrences
+but the earliest mark their words for removal. Only edges that can repeat are built:
+1. Documents with equal word sequences are one class, judged at its least doc_id; all others of a class of SPAN words
+   or more go whole.
+2. Each window has an anchor, the least of its SPAN-K+1 K-word ids. Equal windows have equal anchors, so a window can only
+   repeat if its anchor stands in several classes, which an aggregation over (anchor, class) finds, or if its document
+   holds a K-word sequence twice. About one word in six is an anchor.
+3. Those classes' texts give the edges at shared anchors, a row an occurrence; an aggregation by edge keeps the repeated
+   ones, with their earliest coordinate.
+4. Compaction: a node with one edge in and one out doesn't branch. Its two edges, found by joining the edges at their
+   nodes, are links of one path if their earliest coordinates follow one another in one document. A path is therefore a
+   stretch of its source document, from its head on, and has no cycles; one window pass over each source numbers its heads.
+5. Occurrences join the paths and compact in turn: those that follow one another in a document and on a path are one
+   span (document, start, words, source document, source start), verified by its source coordinates: each of its windows
+   has the source window's two nodes. Spans other than the source itself join the documents, whose other words stay.
+All meetings are Spark aggregations and joins that can spill; hot anchors, edges and classes are broadcast (join_hot).
+
+Ids are 64-bit hashes: classes and edges go by two, nodes and anchors by one. Windows are judged on the input.
 
 Cases: a null or empty text has no words; with fewer than SPAN words nothing is removed; rows of one doc_id with equal
-words are one document, each row given the same result; a null doc_id is never compared and keeps all its words.
+words are one document, each row given the same result; rows of one doc_id with different words are documents in the
+order of a hash of their words; a null doc_id is never compared and keeps all its words; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,31 +31,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, dealt, map_arrow, release, sequence_hash, signed, table, text_chunks, text_only
+from gridloom.llm.common import Words, drop, join_hot, map_arrow, sequence_hash, signed, table, text_chunks, text_only
 
 SPAN, K = 20, 10
-PAIR = np.dtype([("key", "<u8"), ("id", "<u8")])
-EDGE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i4")])
-PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
-_ROW = "kind int, bucket int, a long, n long, h1 long, h2 long, blob binary"
-_NAMES = ["kind", "bucket", "a", "n", "h1", "h2", "blob"]
-_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-
-
-def _rows(*cols):
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_NAMES)
-
-
-def _blobs(packed: np.ndarray, bucket: np.ndarray, buckets: int):
-    """(bucket numbers, bytes) of the packed rows of each bucket that has any."""
-    packed = packed[np.argsort(bucket, kind="stable")]
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    starts = np.append(0, ends[:-1])
-    used = np.flatnonzero(ends > starts).tolist()
-    return used, [packed[starts[k] : ends[k]].tobytes() for k in used]
+#: Coordinates count words from the document's rank among those of its doc_id times this.
+RANKED = 1 << 32
+#: Occurrences in an Arrow batch.
+SLICE = 250_000
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +57,7 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _documents(column):
-    """(row, words, first word, end) of every text."""
+    """(row, words, anchors, K-grams, first word, end) of every text."""
     for at, end, data, offsets in text_chunks(column):
         words = Words(data, offsets, lower=False)
         low, grams = anchors(words)
@@ -73,214 +65,147 @@ def _documents(column):
             yield at + i, words, low, grams, int(words.first[i]), int(words.first[i + 1])
 
 
-def _survey(buckets: int):
-    """Kind 0: document and class. Kind 1: packed (anchor, class). Kind 2: classes with an anchor at several places."""
-
-    def run(batches):
-        for b in batches:
-            ids, docs, keys, owners, own, seen, spread = b.column("doc_id").to_pylist(), [], [], [], [], set(), 0
-            for i, words, low, grams, lo, hi in _documents(b.column("text")):
-                n = hi - lo
-                h = sequence_hash(words.hash[lo:hi]) if n >= SPAN else 0
-                docs.append((ids[i], n, h, sequence_hash(words.hash[lo:hi], 1) if n >= SPAN else 0))
-                if n < SPAN or h in seen or ids[i] is None:
-                    continue
-                seen.add(h)
-                mine = np.unique(low[lo : hi - SPAN + 1])
-                keys.append(mine)
-                owners.append(np.full(len(mine), h, dtype=np.uint64))
-                every = np.sort(grams[lo : hi - K + 1])
-                if (every[1:] == every[:-1]).any():
-                    own.append(h)
-            count = len(docs)
-            h1, h2 = (signed(np.array([d[k] for d in docs], dtype=np.uint64)) for k in (2, 3))
-            for at in range(0, count, 5000):  # spread over the buckets
-                part = slice(at, at + 5000)
-                m = len(docs[part])
-                spread += 1
-                yield _rows([0] * m, np.arange(at, at + m) % buckets, [d[0] for d in docs[part]], [d[1] for d in docs[part]], h1[part], h2[part], [None] * m)
-            if own:
-                mine = signed(np.array(own, dtype=np.uint64))
-                yield _rows([2] * len(own), mine % buckets, [None] * len(own), [None] * len(own), mine, [None] * len(own), [None] * len(own))
-            if keys:
-                pairs = np.empty(sum(map(len, keys)), dtype=PAIR)
-                pairs["key"], pairs["id"] = np.concatenate(keys), np.concatenate(owners)
-                pairs = pairs[np.argsort(pairs["key"], kind="stable")]
-                new = np.append(True, pairs["key"][1:] != pairs["key"][:-1])
-                group = np.cumsum(new) - 1
-                met = pairs[np.bincount(group)[group] > 1]  # shared within the batch: known already
-                for kind, packed, by in ((1, pairs[new], pairs["key"][new]), (3, met, met["id"])):
-                    used, blobs = _blobs(packed, (by % np.uint64(buckets)).astype(np.int64), buckets)
-                    m = len(used)
-                    yield _rows([kind] * m, used, [None] * m, [None] * m, [None] * m, [None] * m, blobs)
-
-    return run
-
-
-def _next(rest: pa.RecordBatch):
-    """Kind 3 has nothing to meet at this exchange and becomes kind 1 of the next."""
-    kind = rest.column("kind").to_numpy()
-    yield rest.set_column(rest.schema.get_field_index("kind"), "kind", pa.array(np.where(kind == 3, 1, kind), pa.int32()))
+def _twice(grams: np.ndarray) -> np.ndarray:
+    """The ids that stand at several places."""
+    every = np.sort(grams)
+    return every[1:][every[1:] == every[:-1]]
 
 
-def _gather(batches, pass_on):
-    """Blobs by bucket; other rows go to pass_on at once."""
-    parts: dict[int, list[bytes]] = {}
+def _survey(batches):
+    """Each document's class, whether it holds a K-word sequence twice, and (once a class and batch) its anchors."""
     for b in batches:
-        kind = b.column("kind").to_numpy()
-        if (kind != 1).any():
-            yield from pass_on(b.filter(pa.array(kind != 1)))
-        blobs = b.filter(pa.array(kind == 1))
-        for k, blob in zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
-            parts.setdefault(k, []).append(blob)
-    for k in sorted(parts):
-        yield k, b"".join(parts.pop(k))
-
-
-def _meet(buckets: int):
-    """Packed (anchor, class) of whole buckets -> packed pairs of the anchors with several classes, dealt by class."""
-
-    def run(batches):
-        for got in _gather(batches, _next):
-            if isinstance(got, pa.RecordBatch):
-                yield got
-                continue
-            pairs = np.frombuffer(got[1], dtype=PAIR)
-            pairs = pairs[np.lexsort((pairs["id"], pairs["key"]))]
-            pairs = pairs[np.append(True, (pairs["key"][1:] != pairs["key"][:-1]) | (pairs["id"][1:] != pairs["id"][:-1]))]
-            group = np.cumsum(np.append(True, pairs["key"][1:] != pairs["key"][:-1])) - 1
-            pairs = pairs[np.bincount(group)[group] > 1]
-            if len(pairs):
-                used, blobs = _blobs(pairs, (pairs["id"] % np.uint64(buckets)).astype(np.int64), buckets)
-                m = len(used)
-                yield _rows([1] * m, used, [None] * m, [None] * m, [None] * m, [None] * m, blobs)
-
-    return run
-
-
-def _by_class(batches):
-    """Packed pairs of whole class buckets and classes by themselves -> (class, its shared anchors)."""
-    alone: set[int] = set()
-
-    def keep(rest):
-        alone.update(rest.column("h1").to_pylist())
-        return []
-
-    def out(ids, blobs):
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["h1", "anchors"])
-
-    for _, blob in _gather(batches, keep):
-        pairs = np.frombuffer(blob, dtype=PAIR)
-        pairs = pairs[np.argsort(pairs["id"], kind="stable")]
-        start = np.flatnonzero(np.append(True, pairs["id"][1:] != pairs["id"][:-1]))
-        ids, ends = signed(pairs["id"][start]).tolist(), np.append(start[1:], len(pairs)).tolist()
-        for at in range(0, len(ids), 1000):
-            span = zip(start[at : at + 1000].tolist(), ends[at : at + 1000], strict=True)
-            yield out(ids[at : at + 1000], [np.unique(pairs["key"][lo:hi]).tobytes() for lo, hi in span])
-        alone.difference_update(ids)
-    if alone:
-        yield out(sorted(alone), [b""] * len(alone))
-
-
-def _places(edges: np.ndarray) -> np.ndarray:
-    places = np.empty(len(edges), dtype=PLACE)
-    places["doc"], places["at"] = edges["doc"], edges["at"]
-    return places
-
-
-def _packed(kind: int, used: list, blobs: list):
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
-
-
-def _edges(buckets: int):
-    """Texts with their classes' shared anchors -> packed edges of the windows that may repeat."""
-
-    def run(batches):
-        for b in batches:
-            ids, h1, shared = (b.column(c).to_pylist() for c in ("doc_id", "h1", "anchors"))
-            found = []
-            for i, words, low, grams, lo, hi in _documents(b.column("text")):
-                if hi - lo < SPAN or np.uint64(sequence_hash(words.hash[lo:hi])) != np.int64(h1[i]).view(np.uint64):
-                    continue
-                mine = low[lo : hi - SPAN + 1]
-                every = np.sort(grams[lo : hi - K + 1])
-                wanted = np.union1d(np.frombuffer(shared[i], dtype=np.uint64), every[1:][every[1:] == every[:-1]])
-                if not len(wanted):
-                    continue
-                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine)
-                key = window_ids(words.hash[lo:hi])[at]
-                part = np.empty(len(at), dtype=EDGE)
-                part["key"], part["doc"], part["at"] = key, ids[i], at
-                found.append(part)
-            if found:
-                edges = np.concatenate(found)
-                edges = edges[np.lexsort((edges["at"], edges["doc"], edges["key"]))]
-                new = np.append(True, edges["key"][1:] != edges["key"][:-1])
-                later = _places(edges[~new])  # not the earliest even of this batch
-                for kind, packed, by in ((1, edges[new], (edges["key"][new] % np.uint64(buckets)).astype(np.int64)), (3, later, later["doc"] % buckets)):
-                    used, blobs = _blobs(packed, by, buckets)
-                    yield _packed(kind, used, blobs)
-
-    return run
-
-
-def window_ids(words: np.ndarray) -> np.ndarray:
-    """Ids of the SPAN-word windows of one document."""
+        rows, keys, seen = [], [], set()
+        for _, words, low, grams, lo, hi in _documents(b.column("text")):
+            n, mine, own = hi - lo, np.zeros(0, dtype=np.uint64), False
+            h = (sequence_hash(words.hash[lo:hi]), sequence_hash(words.hash[lo:hi], 1)) if n >= SPAN else (0, 0)
+            if n >= SPAN and h not in seen:
+                seen.add(h)
+                mine, own = np.unique(low[lo : hi - SPAN + 1]), len(_twice(grams[lo : hi - K + 1])) > 0
+            rows.append((n, *h, own))
+            keys.append(mine)
+        n, h1, h2, own = zip(*rows, strict=True) if rows else ((),) * 4
+        offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
+        found = pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate([*keys, np.zeros(0, dtype=np.uint64)]))))
+        ids = [pa.array(signed(np.array(h, dtype=np.uint64))) for h in (h1, h2)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *ids, pa.array(own, pa.bool_()), found], names=["doc_id", "n", "h1", "h2", "own", "anchors"])
+
+
+def nodes(words: np.ndarray) -> np.ndarray:
+    """Ids of the (SPAN-1)-word sequences of one document."""
     one = Words.__new__(Words)
     one.hash, one.first = words, np.array([0, len(words)])
-    return one.grams(SPAN)[0][: len(words) - SPAN + 1]
+    return one.grams(SPAN - 1)[0][: len(words) - SPAN + 2]
 
 
-def _later(buckets: int):
-    """Packed edges of whole buckets -> packed places of all but each edge's earliest, dealt by document."""
-
-    def run(batches):
-        for got in _gather(batches, _next):
-            if isinstance(got, pa.RecordBatch):
-                yield got
+def _edges(batches):
+    """Texts with their classes' shared anchors -> occurrences (u, v, doc, at) of the windows that may repeat."""
+    for b in batches:
+        ids, ranks, h1, shared = (b.column(c).to_pylist() for c in ("doc_id", "rank", "h1", "anchors"))
+        for i, words, low, grams, lo, hi in _documents(b.column("text")):
+            if hi - lo < SPAN or np.uint64(sequence_hash(words.hash[lo:hi])) != np.int64(h1[i]).view(np.uint64):
                 continue
-            edges = np.frombuffer(got[1], dtype=EDGE)
-            edges = edges[np.lexsort((edges["at"], edges["doc"], edges["key"]))]
-            later = _places(edges[1:][edges["key"][1:] == edges["key"][:-1]])
-            if len(later):
-                yield _packed(1, *_blobs(later, later["doc"] % buckets, buckets))
-
-    return run
-
-
-def _paths(batches):
-    """Packed places of whole document buckets -> (document, paths): int32 pairs of first and last start."""
-    for _, blob in _gather(batches, lambda rest: []):
-        places = np.frombuffer(blob, dtype=PLACE)
-        order = np.lexsort((places["at"], places["doc"]))
-        doc, at = places["doc"][order], places["at"][order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-        doc, at = doc[new], at[new]
-        first = np.append(True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))
-        last = np.append(first[1:], True)
-        pairs = np.column_stack([at[first], at[last]]).astype("<i4")
-        owner = doc[first]
-        start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        ends = np.append(start[1:], len(owner))
-        for k in range(0, len(start), 2000):
-            part = zip(start[k : k + 2000].tolist(), ends[k : k + 2000].tolist(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(owner[start[k : k + 2000]].copy()), pa.array([pairs[lo:hi].tobytes() for lo, hi in part], pa.binary())], names=["doc_id", "paths"])
+            mine = low[lo : hi - SPAN + 1]
+            wanted = np.union1d(np.array(shared[i], dtype=np.int64).view(np.uint64), _twice(grams[lo : hi - K + 1]))
+            if not len(wanted):
+                continue
+            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine)
+            node = signed(nodes(words.hash[lo:hi]))
+            for k in range(0, len(at), SLICE):
+                part = at[k : k + SLICE]
+                yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(node[part + 1]), pa.array(np.full(len(part), ids[i])), pa.array(part + ranks[i] * RANKED)], names=["u", "v", "doc", "at"])
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """Repeated edges (u, v, n, s, p: earliest coordinate) with the head of their path: the edge (s, p) is p - head steps
+    along the nonbranching path that begins at (s, head)."""
+    only = lambda node, to: edges.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("c"), F.max("s").alias(f"s{to}"), F.max("p").alias(f"p{to}")).where("c = 1").drop("c")
+    links = only("v", "in").join(only("u", "out"), "node").where("sin = sout AND pin + 1 = pout")
+    nothing = F.lit(None).cast("long")
+    marks = edges.select("s", "p", "u", "v", "n", F.lit(0).alias("linked")).unionByName(links.select(F.col("sout").alias("s"), F.col("pout").alias("p"), nothing.alias("u"), nothing.alias("v"), nothing.alias("n"), F.lit(1).alias("linked")))
+    placed = marks.repartition("s").groupBy("s", "p").agg(*[F.max(c).alias(c) for c in ("u", "v", "n", "linked")])
+    along = Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn("head", F.max(F.when(F.col("linked") == 0, F.col("p"))).over(along)).drop("linked")
+
+
+def _spans(places: DataFrame) -> DataFrame:
+    """Occurrences (doc, at, s, p, head) -> spans: those that follow one another in a document and on a path."""
+    along = Window.partitionBy("doc").orderBy("at")
+    before = {c: F.lag(c).over(along) for c in ("at", "s", "p", "head")}
+    step = F.col("at") - before["at"]
+    follows = (step <= 1) & (before["s"] == F.col("s")) & (before["head"] == F.col("head")) & (F.col("p") - before["p"] == step)
+    begins = places.withColumn("new", F.when(follows, 0).otherwise(1))
+    numbered = begins.withColumn("span", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc", "span").agg(F.min("at").alias("start"), F.max("at").alias("last"), F.min("s").alias("source"), F.min("p").alias("source_start"), F.min("head").alias("head")).drop("span")
+
+
+class Repeats:
+    """Everything that is repeated in docs: classes, the copies of each, and the spans."""
+
+    def __init__(self, docs: DataFrame):
+        texts = text_only(docs)
+        survey = table(map_arrow(texts, _survey, "doc_id long, n long, h1 long, h2 long, own boolean, anchors array<long>"))
+        self.members = table(survey.where(f"n >= {SPAN} AND doc_id IS NOT NULL").select("doc_id", "h1", "h2"))
+        least = survey.where(f"n >= {SPAN} AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("own").alias("own"))
+        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("h1", "h2")) - 1
+        self.classes = table(least.withColumn("rank", rank.cast("long")))
+        pairs = survey.where("doc_id IS NOT NULL").select("h1", F.explode("anchors").alias("anchor"))
+        shared = table(pairs.groupBy("anchor").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("anchor", "n"))
+        of_class = join_hot(pairs, shared, "anchor", "n").groupBy("h1").agg(F.collect_set("anchor").alias("anchors"))
+        known = self.classes.join(of_class, "h1", "left").where("own OR anchors IS NOT NULL")
+        active = table(known.select("doc_id", "rank", "h1", F.coalesce("anchors", F.expr("cast(array() AS array<long>)")).alias("anchors")))
+        drop(survey, shared)
+        occurrences = table(map_arrow(texts.join(active.hint("merge"), "doc_id").select("doc_id", "rank", "h1", "text", "anchors"), _edges, "u long, v long, doc long, at long"))
+        drop(active)
+        first = F.min(F.struct("doc", "at")).alias("f")
+        edges = table(occurrences.groupBy("u", "v").agg(first, F.count("*").alias("n")).where("n > 1").select("u", "v", "n", F.col("f.doc").alias("s"), F.col("f.at").alias("p")))
+        paths = table(compacted(edges))
+        places = join_hot(occurrences, paths, ["u", "v"], "n").where("NOT (doc = s AND at = p)").select("doc", "at", "s", "p", "head")
+        self.spans = table(_spans(places))
+        drop(occurrences, edges, paths)
+
+    def plan(self) -> DataFrame:
+        """(doc_id, several, plan): what goes from the texts of each document that loses words, by class; a class without
+        spans goes whole."""
+        copied = table(self.classes.where("copies > 1").select("h1", "h2", F.col("doc_id").alias("least"), "copies"))
+        whole = join_hot(self.members, copied, ["h1", "h2"], "copies").where("doc_id > least").select("doc_id", "h1").distinct()
+        pairs = F.sort_array(F.collect_list(F.struct((F.col("start") % RANKED).cast("int").alias("a"), (F.col("last") % RANKED).cast("int").alias("b")))).alias("spans")
+        cut = self.spans.groupBy(F.col("doc").alias("doc_id"), F.expr(f"start div {RANKED}").alias("rank")).agg(pairs).join(self.classes.select("doc_id", "rank", "h1"), ["doc_id", "rank"])
+        entries = cut.select("doc_id", "h1", "spans").unionByName(whole.withColumn("spans", F.lit(None).cast("array<struct<a:int,b:int>>")))
+        several = self.members.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several"))
+        return entries.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "spans")).alias("plan")).join(several, "doc_id", "left")
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words, source_doc, source_start, path): maximal stretches of words that stand earlier too, without
+    whole copies of SPAN words or more (see Repeats.plan); start counts words, path is its head's place in the source."""
+    found = Repeats(docs).spans
+    return found.select(F.col("doc").alias("doc_id"), (F.col("start") % RANKED).alias("start"), (F.col("last") - F.col("start") + SPAN).alias("n_words"), F.col("source").alias("source_doc"), (F.col("source_start") % RANKED).alias("source_start"), (F.col("head") % RANKED).alias("path"))
+
+
+def _entry(text: pa.Scalar, several: bool | None, plan: list) -> dict | None:
+    """What goes from this text: of a doc_id with several texts the entry of its words."""
+    if not several:
+        return plan[0]
+    _, words, _, _, lo, hi = next(_documents(pa.array([text.as_py()])))
+    own = int(signed(np.array([sequence_hash(words.hash[lo:hi])], dtype=np.uint64))[0]) if hi - lo >= SPAN else None
+    return next((e for e in plan if e["h1"] == own), None)
 
 
 def _kept(with_text: bool):
     def run(batches):
         for b in batches:
             rows = []
-            for text, paths in zip(b.column("text"), b.column("paths").to_pylist(), strict=True):
+            for text, several, plan in zip(b.column("text"), b.column("several").to_pylist(), b.column("plan").to_pylist(), strict=True):
                 words = text.as_py().encode().split()  # bytes.split cuts at exactly the six separators
                 n, removed = len(words), 0
-                if paths == b"all":
+                entry = _entry(text, several, plan) if plan and n >= SPAN else None
+                if entry and entry["spans"] is None:
                     words, removed = [], n
-                elif paths and n >= SPAN:
+                elif entry:
                     gone = np.zeros(n + 1, dtype=np.int64)
-                    spans = np.frombuffer(paths, dtype="<i4").reshape(-1, 2)
-                    np.add.at(gone, np.minimum(spans[:, 0], n), 1)
-                    np.add.at(gone, np.minimum(spans[:, 1] + SPAN, n), -1)
+                    spans = np.array([(s["a"], s["b"]) for s in entry["spans"]])
+                    np.add.at(gone, spans[:, 0], 1)
+                    np.add.at(gone, spans[:, 1] + SPAN, -1)
                     keep = np.cumsum(gone[:n]) == 0
                     removed = n - int(keep.sum())
                     words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
@@ -294,22 +219,9 @@ def _kept(with_text: bool):
 
 def dedup_substrings(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space, or their SHA-256."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = text_only(docs)
-    met = table(map_arrow(dealt(map_arrow(texts, _survey(buckets), _ROW), "bucket"), _meet(buckets), _ROW), "kind")
-    members = met.where("kind = 0 AND n >= 20 AND a IS NOT NULL").select(F.col("a").alias("doc_id"), "h1", "h2")
-    first = table(members.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
-    shared = table(map_arrow(dealt(met.where("kind > 0").select("kind", "bucket", "h1", "blob"), "bucket"), _by_class, "h1 long, anchors binary"))
-    active = table(first.select("h1", "doc_id").join(shared, "h1"))
-    release(docs.sparkSession)
-    edges = texts.join(active.hint("merge"), "doc_id").select("doc_id", "h1", "text", "anchors")
-    later = map_arrow(dealt(map_arrow(edges, _edges(buckets), "kind int, bucket int, blob binary"), "bucket"), _later(buckets), "kind int, bucket int, blob binary")
-    paths = map_arrow(dealt(later, "bucket"), _paths, "doc_id long, paths binary")
-    copied = first.where("copies > 1").select("h1", "h2", F.col("doc_id").alias("least"))
-    whole = members.join(copied, ["h1", "h2"]).where("doc_id > least").select("doc_id").distinct().withColumn("paths", F.lit(b"all"))
-    plan = table(paths.unionByName(whole))
-    release(docs.sparkSession)
-    return map_arrow(texts.join(plan.hint("merge"), "doc_id", "left").select("doc_id", "text", "paths"), _kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
+    plan = table(Repeats(docs).plan())
+    joined = text_only(docs).join(plan.hint("merge"), "doc_id", "left").select("doc_id", "text", "several", "plan")
+    return map_arrow(joined, _kept(with_text), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
