@@ -2,17 +2,19 @@
 
 1. Lines (between newlines, trimmed of white space at both ends, not empty) are hashed; one aggregation finds the
    line hashes seen at more than one site (its least and greatest site differ), combining within each task first.
-2. For those, HyperLogLog sketches of the sites are built within each task and merged by aggregation.
+2. All occurrences of those go into HyperLogLog sketches of their sites, one a line hash, built within each task and
+   merged by aggregation.
 3. A line spreads if the sketch's lower bound reaches min_sites, and doesn't if its upper bound stays below (three
-   standard errors); lines in between get an exact distinct count over their (line, site) pairs.
+   standard errors); only lines in between have their (line, site) pairs made distinct and counted.
 4. A line spreading over at least min_sites sites is boilerplate. It is removed wherever it stands, unless more than
-   half of a document's lines are boilerplate: then all its lines stay (as in ORACLE_SQL; nothing checks whether the
-   document is a copy).
-Only flagged positions travel to the documents; texts are cut and rebuilt natively.
+   half of the characters of a document's lines stand in boilerplate lines: such a document is a copy, or nearly, of
+   what stands elsewhere, removal would leave scraps of it, and near-duplicate removal is what judges it.
+Only flagged positions travel to the documents; texts are cut and rebuilt natively, in time linear in their lines. Lines
+that stand in a large share of the documents are broadcast (join_hot).
 
 Cases: a null text has no lines and stays null (kept digest of nothing); an empty text stays empty; a null site is a
-site of its own; a repeated line counts once for each site; repeated rows are treated alike; the lines of rows with a null doc_id
-count, but stay; tables may be empty.
+site of its own; a repeated line counts once for each site; repeated rows are treated alike, and rows that share a
+doc_id but not their text each by their own; the lines of rows with a null doc_id count, but stay; tables may be empty.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import join_checked, table
+from gridloom.llm.common import drop, join_hot, table
 
 MIN_SITES = 5
 LG_K = 11
@@ -31,38 +33,45 @@ _LINES = "transform(split(text, '\\n', -1), x -> trim(BOTH ' \\t\\r' FROM x))"
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, pos, h): hashed non-empty lines."""
-    lines = docs.select("doc_id", F.coalesce("source", F.lit("\u0000")).alias("site"), F.posexplode(F.expr(f"transform({_LINES}, x -> CASE WHEN x <> '' THEN xxhash64(x) END)")).alias("pos", "h"))
-    return lines.where("h IS NOT NULL")
+    """(doc_id, whole, site, pos, h, size): hashed non-empty lines; whole tells the texts of a doc_id apart."""
+    of = F.expr(f"transform({_LINES}, x -> CASE WHEN x <> '' THEN struct(xxhash64(x) AS h, length(x) AS size) END)")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("whole"), F.coalesce("source", F.lit("\u0000")).alias("site"), F.posexplode(of).alias("pos", "x"))
+    return lines.where("x IS NOT NULL").select("doc_id", "whole", "site", "pos", "x.h", "x.size")
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h, sites): the hashes of the lines that stand at min_sites sites or more."""
+    """(h, sites, n): the hashes of the lines that stand at min_sites sites or more, and how often; sites may be an estimate."""
     lines = _exploded(docs).select("h", "site")
-    many = table(lines.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("h"))
-    pairs = table(join_checked(lines, many, "h", "left_semi").distinct())
-    sketched = pairs.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("h", F.hll_sketch_estimate("sketch").alias("sites"))
-    sketched = table(sketched)
+    many = table(lines.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n"))
+    several = table(join_hot(lines, many, "h", "n").select("h", "site"))
+    sketched = several.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.count("*").alias("n"))
+    sketched = table(sketched.select("h", F.hll_sketch_estimate("sketch").alias("sites"), "n"))
     sure = sketched.where(F.col("sites") * (1 - MARGIN) >= min_sites)
-    near = sketched.where((F.col("sites") * (1 - MARGIN) < min_sites) & (F.ceil(F.col("sites") * (1 + MARGIN)) >= min_sites)).select("h")
-    exact = join_checked(pairs, near, "h", "left_semi").groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    return table(sure.unionByName(exact))
+    near = table(sketched.where((F.col("sites") * (1 - MARGIN) < min_sites) & (F.ceil(F.col("sites") * (1 + MARGIN)) >= min_sites)).select("h", "n"))
+    exact = join_hot(several, near, "h", "n").distinct().groupBy("h", "n").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    out = table(sure.unionByName(exact))
+    drop(many, several, sketched, near)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of docs with the boilerplate lines taken out of text, then the counts of lines and of removed lines
     (long) under the names given; a column of docs with such a name gives way."""
     keyed = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
-    spread = spread_lines(keyed, min_sites).select("h")
-    flagged = join_checked(_exploded(keyed).select("doc_id", "pos", "h"), spread, "h", "left_semi")
-    gone = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    packed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
-    lines = packed.join(gone, "doc_id", "left").withColumn("n", F.expr(f"cast(coalesce(size(filter({_LINES}, x -> x <> '')), 0) AS long)"))
-    lines = lines.withColumn("k", F.expr("cast(CASE WHEN coalesce(size(gone), 0) * 2 > n THEN 0 ELSE coalesce(size(gone), 0) END AS long)"))
-    cut = "array_join(transform(filter(zip_with(split(text, '\\n', -1), sequence(0, size(split(text, '\\n', -1)) - 1), (x, i) -> struct(x, i)), y -> NOT array_contains(gone, y.i)), y -> y.x), '\\n')"
-    text = F.expr(f"CASE WHEN k > 0 THEN {cut} ELSE text END")
+    flagged = join_hot(_exploded(keyed).select("doc_id", "whole", "pos", "h", "size"), spread_lines(keyed, min_sites).select("h", "n"), "h", "n")
+    gone = flagged.groupBy("doc_id", "whole").agg(F.collect_set(F.struct("pos", "size")).alias("gone"))
+    others = F.struct(*[F.col(c) for c in docs.columns if c not in ("text", *counts)])
+    packed = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), others.alias("row"))
+    packed = packed.select("doc_id", F.xxhash64("text").alias("whole"), F.expr("split(text, '\\n', -1)").alias("lines"), "row")
+    met = packed.join(gone, ["doc_id", "whole"], "left")
+    trimmed = "transform(lines, x -> trim(BOTH ' \\t\\r' FROM x))"
+    sized = met.withColumn("n", F.expr(f"cast(coalesce(size(filter({trimmed}, x -> x <> '')), 0) AS long)"))
+    sized = sized.withColumn("chars", F.expr(f"aggregate({trimmed}, 0L, (t, x) -> t + length(x))")).withColumn("shared", F.expr("aggregate(gone, 0L, (t, x) -> t + x.size)"))
+    cut = sized.withColumn("gone", F.expr("CASE WHEN shared * 2 <= chars THEN gone.pos END"))
+    kept = "array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i)), '\n')"
+    text = F.expr(f"CASE WHEN gone IS NULL THEN array_join(lines, '\n') ELSE {kept} END")
     own = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in counts]
-    return lines.select(*own, F.col("n").alias(counts[0]), F.col("k").alias(counts[1]))
+    return cut.select(*own, F.col("n").alias(counts[0]), F.expr("cast(coalesce(size(gone), 0) AS long)").alias(counts[1]))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +86,9 @@ WITH lines AS (
 trimmed AS (SELECT doc_id, site, pos, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM lines),
 spread AS (SELECT line FROM trimmed WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 marked AS (SELECT t.*, t.line <> '' AS is_line, s.line IS NOT NULL AS gone FROM trimmed t LEFT JOIN spread s ON s.line = t.line),
-docs AS (SELECT doc_id, count(*) FILTER (is_line) AS n_lines, count(*) FILTER (gone) AS n_gone,
+docs AS (SELECT doc_id, count(*) FILTER (is_line) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(line)) AS chars, sum(length(line)) FILTER (gone) AS shared,
   string_agg(raw, chr(10) ORDER BY pos) AS whole, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone) AS cut FROM marked GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN n_gone * 2 > n_lines THEN 0 ELSE coalesce(n_gone, 0) END AS BIGINT) AS n_removed,
-  sha256(CASE WHEN n_gone > 0 AND n_gone * 2 <= n_lines THEN coalesce(cut, '') ELSE coalesce(whole, '') END) AS kept_sha256
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN shared * 2 > chars THEN 0 ELSE coalesce(n_gone, 0) END AS BIGINT) AS n_removed,
+  sha256(CASE WHEN n_gone > 0 AND shared * 2 <= chars THEN coalesce(cut, '') ELSE coalesce(whole, '') END) AS kept_sha256
 FROM documents d LEFT JOIN docs USING (doc_id)
 """

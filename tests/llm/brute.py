@@ -95,7 +95,8 @@ def lines_kept(docs, min_sites):
         lines = (text or "").split("\n")
         real = [x.strip(" \t\r") != "" for x in lines]
         gone = [r and len(sites[x.strip(" \t\r")]) >= min_sites for x, r in zip(lines, real, strict=True)]
-        if sum(gone) * 2 > sum(real):
+        sizes = [len(x.strip(" \t\r")) for x in lines]
+        if sum(n for n, g in zip(sizes, gone, strict=True) if g) * 2 > sum(sizes):
             gone = [False] * len(lines)
         out[i] = (sum(real), sum(gone), "\n".join(x for x, g in zip(lines, gone, strict=True) if not g))
     return out
