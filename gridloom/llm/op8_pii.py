@@ -1,19 +1,23 @@
 """Personal data by weak supervision: regex, gazetteer and context labelers vote, EM weighs them, a span classifier decides.
 
 Base spans (kinds email, ip, card, phone) come from fixed patterns and checks and always stay. Further candidates
-(phone numbers without a plus, written-out e-mail addresses, identity numbers, bank accounts) are each judged by three
-labelers, each voting 1, -1 or 0 (abstains):
-  regex      a strict form of the candidate's shape, or a shape that such data never has;
-  gazetteer  the value holds an entry of a fixed list (area-code style prefixes, mail domains, country codes), or none of it;
-  context    a cue word for personal data, or for order numbers, versions and the like, stands before it.
-Base spans get votes too, so labelers are judged on them as well. The votes of all documents are counted by
-(kind, votes, features): a table bounded by the product of a few small domains, not by the data. On it, EM over the
-latent class estimates each labeler's reliability for each kind (Laplace-smoothed naive Bayes), and a logistic span
-classifier over kind, votes and length is fitted to the posteriors, weighted by the counts. The classifier is a
-linear expression, applied natively in a second scan. All expressions are built-in JVM functions.
-
-Patterns are written so that no text takes more than linear time: a run that can't start a match isn't tried from
-its middle (the look-behind), and nothing is given back after runs that can't overlap what follows (possessive).
+(written-out e-mail addresses, phone numbers without a plus, identity numbers, bank accounts, keys and passwords) are
+each judged by three labelers, each voting 1, -1 or 0 (abstains):
+  regex      the strict form of the kind: digits, lengths and check sums that such data has, or lacks (-1);
+  gazetteer  the value begins or ends with, or holds, an entry of the kind's list (gazetteers.py), or none (0);
+  context    a cue word for personal data or a given name, or one for order numbers, versions and the like (-1), stands
+             in the CONTEXT_CHARS characters before it that follow the last match of its kind.
+Base spans get votes too, so labelers are judged on them as well. A candidate that overlaps a span of an earlier kind is
+none. The matches of all documents are found in one pass over the texts and written, a row a document; what follows works
+on rows of matches and shuffles nothing else. The votes are counted by (kind, votes, features): a table bounded by the product of a few small
+domains, not by the data. On it, EM over the latent class estimates each labeler's reliability for each kind
+(Laplace-smoothed naive Bayes), and a logistic span classifier over kind, votes and length is fitted to the posteriors,
+weighted by the counts. The classifier is a linear expression over the written votes. All expressions are built-in JVM
+functions.
+
+A text takes no more than linear time: a run that can't start a match isn't tried from its middle (the look-behind),
+nothing is given back after runs that can't overlap what follows (possessive), and positions are running sums over the
+rows of its matches.
 
 Cases: a null or empty text has no spans (zero counts, digest of nothing, empty string); ties start at one place
 and go by kind; repeated rows give repeated results; with no candidates at all the labelers keep their priors.
@@ -24,25 +28,39 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import text_only
+from gridloom.llm import gazetteers as lists
+from gridloom.llm.common import table, text_only
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("email_written", "phone_local", "id_number", "iban")
+EXTRA = ("email_written", "phone_local", "id_number", "iban", "secret")
 KINDS = BASE + EXTRA
+CONTEXT_CHARS = 24
+EM_ROUNDS = 30
+ACCEPT = 0.5
+#: What each labeler is taken to have voted before it is seen, by class: -1, 0 and 1 of ten spans.
+PRIOR_COUNTS = np.array([[3.0, 4, 3], [1, 3, 6]])
+
+
+def _either(words, escape: bool = True) -> str:
+    special = set("\\.[]{}()*+-?^$|")
+    return "|".join("".join(f"\\{c}" if escape and c in special else c for c in w) for w in words)
+
 
 # Fixed patterns. \G (the end of the last match) keeps a look-behind from hiding a match that starts there.
+_LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERN = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_DOMAIN}++(?:\.{_DOMAIN}++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "email_written": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]{1,63}){1,6}",
+    "email_written": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++\x20?[(\[]at[)\]]\x20?{_DOMAIN}++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?){_DOMAIN}++)++",
     "phone_local": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "id_number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "secret": rf"(?:(?<![A-Za-z0-9_-])(?:{_either(lists.KEY_PREFIXES)})[A-Za-z0-9_.+/-]{{12,}}+|(?i:{_either(lists.SECRET_NAMES)})[\x22\x27]?\x20?[=:]\x20?[\x22\x27]?[^\x20\x09-\x0D\x22\x27]{{6,}}+|-----BEGIN\x20[A-Z\x20]{{0,24}}PRIVATE\x20KEY-----)",
 }
 # A text that fails its gate can't hold the kind; the costlier pattern isn't tried.
 GATE = {
@@ -54,40 +72,8 @@ GATE = {
     "phone_local": r"text RLIKE '[0-9]{3}[\\x20.-][0-9]{4}'",
     "id_number": r"text RLIKE '[0-9]{3}-[0-9]{2}-[0-9]{4}'",
     "iban": r"text RLIKE '[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]{4}'",
+    "secret": f"text RLIKE '{_either([x for x in lists.KEY_PREFIXES], escape=False)}|PRIVATE' OR text RLIKE '[=:]' AND lower(text) RLIKE '{_either(lists.SECRET_NAMES, escape=False)}'",
 }
-# Strict shapes (vote 1) and shapes such data never has (vote -1), on the value m.
-STRICT = {
-    "email": r"\\.[A-Za-z]{2,}$", "ip": r"^[1-9][0-9]{0,2}(\\.[0-9]{1,3}){3}$", "card": r"^[3-6]", "phone": r"^\\+[1-9]",
-    "email_written": r"(\\.|dot[)\\]])\\x20?[A-Za-z]{2,}$", "phone_local": r"^(\\([2-9][0-9]{2}\\)|[2-9][0-9]{2})", "id_number": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$", "iban": r"^[A-Z]{2}[0-9]{2}[\\x20]?[A-Z0-9]{4}",
-}
-# Gazetteers: fixed lists, one regular expression for each kind.
-GAZETTEER = {
-    "email": r"(?i)(mail|example|outlook|yahoo|proton)", "ip": r"^(10|127|172|192|169)\\.", "card": r"^(4|5[1-5]|3[47]|6011|65)", "phone": r"^\\+(1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])",
-    "email_written": r"(?i)(mail|example|outlook|yahoo|proton)", "phone_local": r"555", "id_number": r"^[0-7]", "iban": r"^(AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
-}
-CUES = r"(?i)(mail|contact|phone|tel|call|mobile|cell|fax|card|visa|account|iban|bank|ssn|social|address|reach|write|host|login|server)"
-COUNTER_CUES = r"(?i)(order|invoice|version|chapter|section|page|item|serial|ticket|isbn|issn|article|no\\.|fig)"
-CONTEXT_CHARS = 24
-EM_ROUNDS = 30
-ACCEPT = 0.5
-
-
-def _sql(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-_SPAN = "struct<s:int,e:int,m:string>"
-
-
-def _found(kind: str) -> str:
-    """SQL for the kind's matches in text as (start, end, value), code points, end exclusive. Splitting by the
-    pattern gives what lies between its matches, so positions are running lengths."""
-    p = _sql(PATTERN[kind])
-    pairs = f"filter(zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (m, g) -> struct(m, g)), x -> x.m IS NOT NULL)"
-    step = "struct(z.at + length(x.g) + length(x.m) AS at, concat(z.o, array(struct(z.at + length(x.g) AS s, z.at + length(x.g) + length(x.m) AS e, x.m AS m))) AS o)"
-    return f"CASE WHEN {GATE[kind]} THEN aggregate({pairs}, struct(0 AS at, cast(array() AS array<{_SPAN}>) AS o), (z, x) -> {step}, z -> z.o) ELSE cast(array() AS array<{_SPAN}>) END"
-
-
 _DIGITS = r"regexp_replace(x.m, '[^0-9]', '')"
 _LUHN = (
     f"aggregate(sequence(1, length({_DIGITS})), 0, (t, i) -> t + CASE WHEN i % 2 = 1 THEN cast(substring({_DIGITS}, -i, 1) AS int)"
@@ -99,38 +85,89 @@ _PASSES = {
     "card": f"CASE WHEN length({_DIGITS}) BETWEEN 14 AND 19 THEN {_LUHN} ELSE false END",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
 }
+# The remainder of a bank account number, its first four characters moved to the end and letters read as 10 to 35.
+_COMPACT = "replace(x.m, ' ', '')"
+_MOD97 = f"aggregate(split(concat(substring({_COMPACT}, 5), substring({_COMPACT}, 1, 4)), ''), 0, (z, c) -> CASE WHEN c = '' THEN z WHEN c >= 'A' THEN (z * 100 + ascii(c) - 55) % 97 ELSE (z * 10 + cast(c AS int)) % 97 END)"
+_IBAN_LENGTH = "CASE substring(x.m, 1, 2) " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in lists.IBAN_LENGTHS.items()) + " ELSE 0 END"
+
+
+def _rlike(pattern: str, of: str = "x.m") -> str:
+    return f"{of} RLIKE {_sql(pattern)}"
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_MAIL = rf"(?i)(?:@|[)\]\x20.])(?:{_either(lists.MAIL_PROVIDERS)})(?:\.|\x20?[(\[]dot)|(?:\.|[)\]]\x20?)(?:{_either(lists.TOP_LEVEL)})$"
+# The strict form of each kind (vote 1, else -1), and its list (vote 1, else 0), on the span x.
+STRICT = {
+    "email": _rlike(r"^[A-Za-z0-9][^@]*@.*\.[A-Za-z]{2,}$") + " AND NOT contains(x.m, '..')",
+    "ip": "forall(split(x.m, '[.]'), p -> p = '0' OR NOT startswith(p, '0'))",
+    "card": _rlike("^[3-6]") + f" AND length({_DIGITS}) BETWEEN 14 AND 16",
+    "phone": _rlike(r"^\+[1-9]"),
+    "email_written": _rlike(r"[A-Za-z]{2,}$"),
+    "phone_local": _rlike(r"^\(?[2-9][0-8][0-9]\)?[\x20.-][2-9]"),
+    "id_number": _rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"),
+    "iban": f"{_MOD97} = 1",
+    "secret": _rlike(r"PRIVATE|[0-9]") + " AND " + _rlike(r"[A-Za-z]"),
+}
+LISTED = {
+    "email": _rlike(_MAIL),
+    "ip": _rlike(rf"^(?:{_either(lists.HOST_PARTS)})\."),
+    "card": _rlike(rf"^(?:{_either(lists.CARD_PREFIXES)})", f"{_DIGITS}"),
+    "phone": _rlike(rf"^\+(?:{_either(lists.CALLING_CODES)}|(?:{_either(lists.CALLING_ZONES)})[0-9])"),
+    "email_written": _rlike(_MAIL),
+    "phone_local": "NOT " + _rlike(rf"^\(?(?:{_either(lists.SERVICE_AREAS)})"),
+    "id_number": _rlike(r"^[0-7]"),
+    "iban": f"length({_COMPACT}) = {_IBAN_LENGTH}",
+    "secret": _rlike(rf"^(?:{_either(lists.KEY_PREFIXES)})|^(?i:{_either(lists.SECRET_NAMES)})|PRIVATE"),
+}
+_CUE = rf"(?i:{_either(lists.CUES)})|\b(?:{_either(lists.GIVEN_NAMES)})\b"
+_COUNTER = rf"(?i:{_either(lists.COUNTER_CUES)})"
+
+
+def _matches(kind: str) -> str:
+    """SQL for the kind's matches in text: (kind, number, characters before it since the last match, its own characters, value,
+    context). Splitting by the pattern gives what lies between its matches."""
+    p = _sql(PATTERN[kind])
+    pairs = f"filter(zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (m, g) -> struct(m, g)), x -> x.m IS NOT NULL)"
+    value = f"struct({KINDS.index(kind)} AS k, i AS i, length(x.g) AS gap, length(x.m) AS own, x.m AS m, right(x.g, {CONTEXT_CHARS}) AS c)"
+    none = "cast(array() AS array<struct<k:int,i:int,gap:int,own:int,m:string,c:string>>)"
+    return f"CASE WHEN {GATE[kind]} THEN transform({pairs}, (x, i) -> {value}) ELSE {none} END"
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base): every base span as (s, e, k, m), by start, then kind as listed."""
-    with_found = text_only(docs).select("doc_id", "text", *[F.expr(f"filter({_found(k)}, x -> {_PASSES[k]})").alias(k) for k in BASE])
-    tagged = ", ".join(f"transform({k}, x -> struct(x.s AS s, {i} AS k, x.e AS e, x.m AS m))" for i, k in enumerate(BASE))
-    return with_found.select("doc_id", "text", F.expr(f"array_sort(concat({tagged}))").alias("base"))
+def matches(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, matches) of every row of docs, all kinds; row tells the rows apart once this is written."""
+    found = ", ".join(_matches(k) for k in KINDS)
+    return text_only(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.expr(f"concat({found})").alias("matches"))
 
 
-def _votes(x: str) -> str:
-    """SQL for a span's votes: fields vr, vg, vc in -1..1 and nb, its length's bucket."""
-    pick = lambda table, yes, no: "CASE " + " ".join(f"WHEN {x}.k = {i} THEN CASE WHEN {x}.m RLIKE '{table[k]}' THEN {yes} ELSE {no} END" for i, k in enumerate(KINDS)) + " END"
-    left = f"substring(text, greatest(1, {x}.s + 1 - {CONTEXT_CHARS}), least({x}.s, {CONTEXT_CHARS}))"
-    context = f"CASE WHEN {left} RLIKE '{CUES}' THEN 1 WHEN {left} RLIKE '{COUNTER_CUES}' THEN -1 ELSE 0 END"
-    return f"{pick(STRICT, 1, -1)} AS vr, {pick(GAZETTEER, 1, 0)} AS vg, {context} AS vc, least(9, cast(length({x}.m) / 4 AS int)) AS nb"
+def _votes() -> list[Column]:
+    """A span's votes: vr, vg, vc in -1..1 and nb, its length's bucket."""
+    pick = lambda tests, yes, no: "CASE k " + " ".join(f"WHEN {i} THEN CASE WHEN {tests[k].replace('x.m', 'm')} THEN {yes} ELSE {no} END" for i, k in enumerate(KINDS)) + " END"
+    context = f"CASE WHEN {_rlike(_CUE, 'c')} THEN 1 WHEN {_rlike(_COUNTER, 'c')} THEN -1 ELSE 0 END"
+    return [F.expr(sql).alias(name) for name, sql in (("vr", pick(STRICT, 1, -1)), ("vg", pick(LISTED, 1, 0)), ("vc", context), ("nb", "least(9, cast(length(m) / 4 AS int))"))]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans): base spans plus further candidates that overlap none of them or of an earlier kind, all with votes."""
-    based = base_spans(docs).select("doc_id", "text", "base", *[F.expr(_found(k)).alias(k) for k in EXTRA])
-    found = based.withColumn("spans", F.col("base"))
-    for i, k in enumerate(EXTRA, len(BASE)):
-        free = f"filter({k}, x -> NOT exists(spans, y -> y.s < x.e AND x.s < y.e))"
-        found = found.withColumn("spans", F.expr(f"CASE WHEN size({k}) = 0 THEN spans ELSE concat(spans, transform({free}, x -> struct(x.s AS s, {i} AS k, x.e AS e, x.m AS m))) END"))
-    votes = f"transform(spans, x -> struct(x.s AS s, x.k AS k, x.e AS e, {_votes('x')}))"
-    return found.select("doc_id", "base", F.expr(f"CASE WHEN size(spans) = 0 THEN NULL ELSE {votes} END").alias("spans"))
+def candidates(found: DataFrame) -> DataFrame:
+    """(row, doc_id, s, e, k, vr, vg, vc, nb) from matches(), written: base spans, and further candidates that overlap no span
+    of an earlier kind; code points, end exclusive. Spans by start and candidates by end in one order, a candidate overlaps a
+    span that begins before its end just if the greatest end so far lies behind its start."""
+    rows = found.select("row", "doc_id", F.explode("matches").alias("x")).select("row", "doc_id", "x.*")
+    along = Window.partitionBy("row", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("e", F.sum(F.col("gap") + F.col("own")).over(along).cast("int")).withColumn("s", F.col("e") - F.col("own"))
+    passes = "CASE k " + " ".join(f"WHEN {i} THEN {_PASSES[k].replace('x.m', 'm')}" for i, k in enumerate(BASE)) + " ELSE true END"
+    events = placed.where(passes).withColumn("asks", F.explode(F.expr(f"CASE WHEN k < {len(BASE)} THEN array(0) ELSE array(0, 1) END")))
+    before = Window.partitionBy("row").orderBy(F.expr("CASE WHEN asks = 1 THEN e ELSE s END"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    far = F.coalesce(*[F.when(F.col("k") == rank, F.max(F.when((F.col("asks") == 0) & (F.col("k") < rank), F.col("e"))).over(before)) for rank in range(len(BASE), len(KINDS))], F.lit(0))
+    stays = events.withColumn("far", far).where(f"asks = 0 AND k < {len(BASE)} OR asks = 1 AND far <= s")
+    return stays.select("row", "doc_id", "s", "e", "k", *_votes())
 
 
-def count_votes(found: DataFrame) -> DataFrame:
-    """How often each (kind, votes, length bucket) occurs in all documents: at most 8 * 27 * 10 rows."""
-    # the outer form, as for the inner one the optimizer would filter on the whole span expression below every projection
-    return found.select(F.explode_outer("spans").alias("x")).where("x IS NOT NULL").groupBy("x.k", "x.vr", "x.vg", "x.vc", "x.nb").count()
+def count_votes(spans: DataFrame) -> DataFrame:
+    """How often each (kind, votes, length bucket) occurs in all documents: at most 9 * 27 * 10 rows."""
+    return spans.groupBy("k", "vr", "vg", "vc", "nb").count()
 
 
 class SpanModel:
@@ -140,7 +177,7 @@ class SpanModel:
         table = np.array(rows, dtype=np.int64).reshape(-1, 6)
         kind, votes, bucket, weight = table[:, 0], table[:, 1:4], table[:, 4], table[:, 5].astype(float)
         #: P(vote | class) by kind, labeler, class, vote + 1; priors favour a labeler that tells the truth
-        self.reliability = np.tile(np.array([[[0.3, 0.4, 0.3], [0.1, 0.3, 0.6]]]), (len(KINDS), 3, 1, 1))
+        self.reliability = np.tile(PRIOR_COUNTS / 10, (len(KINDS), 3, 1, 1))
         self.prior = np.full(len(KINDS), 0.5)
         posterior = self._posterior(kind, votes)
         for _ in range(EM_ROUNDS):
@@ -151,8 +188,7 @@ class SpanModel:
                 for lab in range(3):
                     for c in (0, 1):
                         p = posterior[of] if c else 1 - posterior[of]
-                        smooth = np.array([[3.0, 4, 3], [1, 3, 6]])[c]
-                        n = np.array([np.sum(weight[of] * p * (votes[of, lab] == v)) for v in (-1, 0, 1)]) + smooth
+                        n = np.array([np.sum(weight[of] * p * (votes[of, lab] == v)) for v in (-1, 0, 1)]) + PRIOR_COUNTS[c]
                         self.reliability[k, lab, c] = n / n.sum()
             posterior = self._posterior(kind, votes)
         posterior = np.where(kind < len(BASE), 1.0, posterior)  # base spans are certain
@@ -174,12 +210,12 @@ class SpanModel:
     def _features(kind, votes, bucket):
         return np.column_stack([kind[:, None] == np.arange(len(KINDS)), votes, bucket[:, None] == np.arange(10)]).astype(float)
 
-    def accepts(self, x: str) -> str:
-        """SQL: whether the classifier takes span x."""
+    def accepts(self) -> str:
+        """SQL: whether the classifier takes a span."""
         w = [f"{v!r}D" for v in self.weights.tolist()]
-        case = lambda field, values: f"CASE {x}.{field} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+        case = lambda field, values: f"CASE {field} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
         n = len(KINDS)
-        score = f"{case('k', w[:n])} + {w[n]} * {x}.vr + {w[n + 1]} * {x}.vg + {w[n + 2]} * {x}.vc + {case('nb', w[n + 3 :])}"
+        score = f"{case('k', w[:n])} + {w[n]} * vr + {w[n + 1]} * vg + {w[n + 2]} * vc + {case('nb', w[n + 3 :])}"
         return f"({score} >= {math.log(ACCEPT / (1 - ACCEPT))!r}D)"
 
 
@@ -189,14 +225,17 @@ def _joined(spans: str) -> Column:
 
 
 def find_personal_data(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans); fits the labelers on all of docs if no model is given."""
-    found = candidates(docs)
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans): n_spans counts all spans; fits the labelers on
+    all of docs if no model is given."""
+    found = table(matches(docs))
+    voted = table(candidates(found))
     if model is None:
-        model = SpanModel([tuple(r) for r in count_votes(found).collect()])  # bounded by the vote domains
-    kept = f"array_sort(filter(coalesce(transform(spans, x -> x), cast(array() AS array<struct<s:int,k:int,e:int,vr:int,vg:int,vc:int,nb:int>>)), x -> x.k < {len(BASE)} OR {model.accepts('x')}))"
-    out = found.select("doc_id", "base", F.expr(kept).alias("spans"))
+        model = SpanModel([tuple(r) for r in count_votes(voted).collect()])  # bounded by the vote domains
+    kept = voted.where(f"k < {len(BASE)} OR {model.accepts()}").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "k", "e"))).alias("spans"))
+    every = found.select("row", "doc_id").join(kept, "row", "left").withColumn("spans", F.expr("coalesce(spans, cast(array() AS array<struct<s:int,k:int,e:int>>))"))
+    out = every.withColumn("base", F.expr(f"filter(spans, x -> x.k < {len(BASE)})"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) AS long)").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return out.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
