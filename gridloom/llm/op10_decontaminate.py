@@ -8,10 +8,12 @@ sorted hash table; every seed of every document is looked up there (a bitmap fir
 (document position minus item position). On it the whole item is compared word by word: the item is leaked if some
 window of min(WINDOW, item length) words has at least MIN_SHARE equal words.
 
-The benchmark is the stated query set. It goes out in blocks of at most BLOCK_ITEMS items (counted first), one pass
-over the documents for each block, so what is broadcast never grows beyond a block. Documents don't shuffle.
+The benchmark is the stated query set. It goes out in blocks of about BLOCK_ITEMS items (counted first), one pass over
+the documents for each block. Between blocks what is found so far is written to the shared folder and the block's
+broadcast destroyed, so no process ever holds more than one block. Documents don't shuffle. Hits are compared in pieces,
+so a seed that many items and words share costs time, not memory.
 
-Cases: a null or empty text leaks nothing; items of fewer than MIN_WORDS words match nothing; equal items are all reported; no benchmark rows, no leak; repeated
+Cases: a null or empty text leaks nothing; rows with a null doc_id are judged like others; items of fewer than MIN_WORDS words match nothing; equal items are all reported; no benchmark rows, no leak; repeated
 documents give repeated results.
 """
 
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _LANE, WORD_BREAKS, Words, _mix, map_arrow, text_chunks, text_only
+from gridloom.llm.common import _LANE, WORD_BREAKS, Words, _mix, drop, map_arrow, table, text_chunks, text_only
 
 # Fixed masks by window length (1 counts, 0 is ignored): each family covers all substitutions that MIN_SHARE allows.
 MASKS = {
@@ -105,30 +107,27 @@ class SeedIndex:
         """For each text the leaked items with their best window share."""
         out: list[dict[int, float]] = [{} for _ in range(len(column))]
         for first, words in _words(column):
-            found = [self._diagonals(words, mask) for mask in self.tables]
-            if not sum(map(len, found)):
-                continue
-            found = np.unique(np.concatenate(found), axis=0)
-            for lo, hi in _slices(self.size[found[:, 1]]):
-                shares = self._shares(words, *found[lo:hi].T)
-                for k in np.flatnonzero(shares >= MIN_SHARE):
-                    best, item_id = out[first + int(found[lo + k, 0])], self.ids[found[lo + k, 1]]
-                    best[item_id] = max(best.get(item_id, 0.0), float(shares[k]))
+            for mask in self.tables:
+                for found in self._diagonals(words, mask):
+                    for lo, hi in _slices(self.size[found[:, 1]]):
+                        shares = self._shares(words, *found[lo:hi].T)
+                        for k in np.flatnonzero(shares >= MIN_SHARE):
+                            best, item_id = out[first + int(found[lo + k, 0])], self.ids[found[lo + k, 1]]
+                            best[item_id] = max(best.get(item_id, 0.0), float(shares[k]))
         return out
 
-    def _diagonals(self, words: Words, mask: str) -> np.ndarray:
-        """(document, item, shift) of the mask's hits, each once."""
+    def _diagonals(self, words: Words, mask: str):
+        """(document, item, shift) of the mask's hits in pieces, within each piece once."""
         h, item, at, bitmap = self.tables[mask]
         seeds = _seeds(words.hash, mask)
         maybe = np.flatnonzero(bitmap[seeds >> np.uint64(64 - BITMAP_BITS)])
         lo, hi = np.searchsorted(h, seeds[maybe], "left"), np.searchsorted(h, seeds[maybe], "right")
         maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        doc, parts = np.searchsorted(words.first, maybe, side="right") - 1, [np.zeros((0, 3), dtype=np.int64)]
+        doc = np.searchsorted(words.first, maybe, side="right") - 1
         for a, b in _slices(n):
             m = n[a:b]
             row = np.repeat(lo[a:b] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            parts.append(np.unique(np.column_stack([np.repeat(doc[a:b], m), item[row], np.repeat(maybe[a:b], m) - at[row]]), axis=0))
-        return np.concatenate(parts)
+            yield np.unique(np.column_stack([np.repeat(doc[a:b], m), item[row], np.repeat(maybe[a:b], m) - at[row]]), axis=0)
 
     def _shares(self, words: Words, doc: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
         """The best share of equal words in a window of each item laid over its document at shift."""
@@ -145,16 +144,29 @@ class SeedIndex:
         return np.maximum.reduceat(inside, begin) / window
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, best_share): one row per row of docs."""
+def _each_block(docs: DataFrame, benchmark: DataFrame, block_items: int, step) -> DataFrame:
+    """step(docs, broadcast index of a block) for one block of the benchmark after the other."""
+    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = max(1, math.ceil(items.count() / block_items * 1.05))
-    out = text_only(docs).withColumn("item_ids", F.expr("cast(array() AS array<long>)")).withColumn("best_share", F.lit(0.0))
+    blocks, written = max(1, math.ceil(items.count() / block_items * 1.05)), None
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {k}"))
-        index = docs.sparkSession.sparkContext.broadcast(SeedIndex([tuple(r) for r in block.collect()]))  # one bounded block
+        index = spark.sparkContext.broadcast(SeedIndex([tuple(r) for r in block.collect()]))  # one bounded block
+        docs = step(docs, index)
+        if k + 1 < blocks:
+            docs, before = table(docs), written
+            index.destroy()
+            if before is not None:
+                drop(before)
+            written = docs
+    return docs
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, contaminated, n_items, item_ids, best_share): one row per row of docs."""
 
-        def run(batches, index=index):
+    def step(found: DataFrame, index) -> DataFrame:
+        def run(batches):
             for b in batches:
                 ids, best = [], []
                 for leaks, had, share in zip(index.value.leaks(b.column("text")), b.column("item_ids").to_pylist(), b.column("best_share").to_pylist(), strict=True):
@@ -162,25 +174,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOC
                     best.append(max([share, *leaks.values()]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=["doc_id", "text", "item_ids", "best_share"])
 
-        out = map_arrow(out, run, "doc_id long, text string, item_ids array<long>, best_share double")
+        return map_arrow(found, run, "doc_id long, text string, item_ids array<long>, best_share double")
+
+    none = text_only(docs).withColumn("item_ids", F.expr("cast(array() AS array<long>)")).withColumn("best_share", F.lit(0.0))
+    out = _each_block(none, benchmark, block_items, step)
     return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "best_share")
 
 
 def filter_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The rows of docs, all columns as they are, that leak no item."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    blocks = max(1, math.ceil(items.count() / block_items * 1.05))
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {k}"))
-        index = docs.sparkSession.sparkContext.broadcast(SeedIndex([tuple(r) for r in block.collect()]))
 
-        def run(batches, index=index):
+    def step(left: DataFrame, index) -> DataFrame:
+        def run(batches):
             for b in batches:
-                text = b.column("text")
-                yield b.filter(pa.array([not x for x in index.value.leaks(text)], pa.bool_()))
+                yield b.filter(pa.array([not x for x in index.value.leaks(pc.cast(b.column("text"), pa.string()))], pa.bool_()))
 
-        docs = map_arrow(docs, run, docs.schema)
-    return docs
+        return map_arrow(left, run, left.schema)
+
+    return _each_block(docs, benchmark, block_items, step)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other, then score all documents.
 
 Text view: shape statistics of the whole text (repetition of words and word triples, longest run of one word, shares
-of upper case, digits, signs and non-ASCII bytes, word and line lengths). Metadata view: site, language and recorded
-length only. Both are logistic models. Fitting uses a bounded sample: at most `max_labelled` labelled and `max_pool`
-unlabelled documents, taken in the order of a hash of doc_id (a fifth of the labelled are held out). In each of
-`rounds` rounds each view labels the pool documents it is most sure of (calibrated probability beyond `confidence`)
-for the other view. At the end each view is calibrated on the held-out part (Platt), and a third logistic model
-over both calibrated logits combines them. Every document is scored, in one pass without a shuffle; a document is
-kept if its combined probability of good quality is at least `threshold`.
+of upper case, digits, signs and non-ASCII bytes, word and line lengths), none of which is its length. Metadata view:
+site, language and recorded length. So no feature is in both. Both are logistic models. Fitting uses a bounded sample:
+at most `max_labelled` labelled and `max_pool` unlabelled documents, taken in the order of a hash of doc_id. Of each
+class's labelled documents, in that order, 6 of 10 train, 2 calibrate, 1 combines and 1 tests. In each of `rounds`
+rounds each view labels the pool documents it is most sure of (calibrated probability beyond `confidence`) for the
+other view. At the end each view is calibrated on the calibration part (Platt), a third logistic model over both
+calibrated logits is fitted on the combination part, and held_out_accuracy is the combined accuracy on the test part,
+which nothing else has seen. Every document is scored, in one pass without a shuffle; a document is kept if its
+combined probability of good quality is at least `threshold`.
 
 Cases: a null or empty text has all-zero text statistics; null metadata falls in a bucket of its own; labels that
-are null or of unknown documents are ignored, of repeated ones the greatest counts; without labels of both classes
-nothing can be learnt and every document is kept with score 1.
+are null or of unknown documents are ignored, of repeated ones the greatest counts; of rows that share a doc_id the one
+with the least hash of its text is in the sample; with fewer than LEAST_LABELS labels of either class nothing is learnt
+and every document is kept with score 1.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from gridloom.llm.common import Words, map_arrow, text_chunks
 
 MAX_LABELLED, MAX_POOL = 10_000, 10_000
 ROUNDS, CONFIDENCE, THRESHOLD = 3, 0.97, 0.5
-N_TEXT, SITE_BUCKETS, LANG_BUCKETS = 18, 64, 16
+LEAST_LABELS = 10
+#: What the k-th labelled document of a class is for, by k % 10.
+TRAIN, CALIBRATE, COMBINE, TEST = (0, 1, 2, 3, 4, 5), (6, 7), (8,), (9,)
+N_TEXT, SITE_BUCKETS, LANG_BUCKETS = 16, 64, 16
 N_META = SITE_BUCKETS + LANG_BUCKETS + 3
 
 _CLASS = np.full(256, 3)  # upper, lower, digit, sign, white, high
@@ -53,14 +59,14 @@ def text_features(column: pa.Array) -> np.ndarray:
         triple, inside = words.grams(3)
         f = out[at:end]
         f[:, :6] = shares
-        f[:, 6] = np.log1p(count)
+        f[:, 6] = np.bincount(word_doc, (words.stop - words.start) > 20, n) / safe
         f[:, 7] = length
         f[:, 8] = np.bincount(word_doc, same, n) / safe
         first = data[words.start] if len(words.start) else np.zeros(0, dtype=np.uint8)
         last = data[words.stop - 1] if len(words.start) else np.zeros(0, dtype=np.uint8)
         f[:, 9] = np.bincount(word_doc, _CLASS[first] == 0, n) / safe
         f[:, 10] = np.bincount(word_doc, _CLASS[last] == 3, n) / safe
-        f[:, 11] = np.log1p(np.bincount(doc, data == 10, n))
+        f[:, 11] = np.bincount(word_doc, (words.stop - words.start) <= 2, n) / safe
         f[:, 12] = np.log1p(size / (1 + np.bincount(doc, data == 10, n)))
         for i in range(n):
             lo, hi = words.first[i], words.first[i + 1]
@@ -69,8 +75,6 @@ def text_features(column: pa.Array) -> np.ndarray:
                 f[i, 13], f[i, 14] = len(c) / (hi - lo), c.max() / (hi - lo)
                 t = triple[lo:hi][inside[lo:hi]]
                 f[i, 15] = len(np.unique(t)) / len(t) if len(t) else 1.0
-        f[:, 16] = np.bincount(word_doc, (words.stop - words.start) > 20, n) / safe
-        f[:, 17] = np.bincount(word_doc, (words.stop - words.start) <= 2, n) / safe
     return out
 
 
@@ -116,20 +120,28 @@ def _p(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-logit))
 
 
+def parts(y: np.ndarray) -> np.ndarray:
+    """Each labelled document's number within its class, modulo 10."""
+    out = np.zeros(len(y), dtype=int)
+    for c in (0, 1):
+        out[y == c] = np.arange((y == c).sum()) % 10
+    return out
+
+
 class CoTrained:
     """Two views, their calibrations and their combination."""
 
     def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, confidence: float = CONFIDENCE):
         text, pool_text = _expand(text), _expand(pool_text)
-        held = np.arange(len(y)) % 5 == 4
+        train, calibrate, combine, test = (np.isin(parts(y), p) for p in (TRAIN, CALIBRATE, COMBINE, TEST))
         views = [[text, pool_text], [meta, pool_meta]]
         extra: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=int), np.zeros(0)) for _ in views]
         self.models, self.plates, self.taught = [None, None], [None, None], []
         for r in range(rounds + 1):
             for v, (own, pool) in enumerate(views):
                 at, label = extra[v]
-                self.models[v] = Logistic().fit(np.concatenate([own[~held], pool[at]]), np.concatenate([y[~held], label]))
-                self.plates[v] = Logistic().fit(self.models[v].logit(own[held])[:, None], y[held])
+                self.models[v] = Logistic().fit(np.concatenate([own[train], pool[at]]), np.concatenate([y[train], label]))
+                self.plates[v] = Logistic().fit(self.models[v].logit(own[calibrate])[:, None], y[calibrate])
             if r == rounds or not len(pool_text):
                 break
             p = [_p(self.plates[v].logit(self.models[v].logit(pool)[:, None])) for v, (_, pool) in enumerate(views)]
@@ -137,8 +149,8 @@ class CoTrained:
                 at = np.flatnonzero((p[1 - v] >= confidence) | (p[1 - v] <= 1 - confidence))
                 extra[v] = (at, (p[1 - v][at] >= 0.5).astype(float))
             self.taught.append([len(e[0]) for e in extra])
-        self.both = Logistic().fit(self._logits(text[held], meta[held]), y[held])
-        self.held_out_accuracy = float(np.mean((self.both.logit(self._logits(text[held], meta[held])) >= 0) == y[held]))
+        self.both = Logistic().fit(self._logits(text[combine], meta[combine]), y[combine])
+        self.held_out_accuracy = float(np.mean((self.both.logit(self._logits(text[test], meta[test])) >= 0) == y[test]))
 
     def _logits(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         return np.column_stack([self.plates[v].logit(self.models[v].logit(x)[:, None]) for v, x in enumerate((text, meta))])
@@ -156,13 +168,20 @@ def _first(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, **options) -> CoTrained | None:
-    """Fits on the bounded sample; None if it holds no two classes."""
-    views = _views(docs)
+def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
+    """The views of the sampled documents, one row an id, with y where labelled."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
-    picked = _first(known, max_labelled)
-    pool = _first(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").join(known, "doc_id", "left_anti"), max_pool).select("doc_id", F.lit(None).cast("double").alias("y"))
-    sample = views.join(F.broadcast(picked.unionByName(pool)), "doc_id")  # at most max_labelled + max_pool rows
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    pool = _first(ids.join(known, "doc_id", "left_anti"), max_pool).select("doc_id", F.lit(None).cast("double").alias("y"))
+    picked = _first(known.join(ids, "doc_id", "left_semi"), max_labelled).unionByName(pool)
+    rows = _views(docs).join(F.broadcast(picked), "doc_id")  # at most max_labelled + max_pool ids
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "source", "lang", "n_chars")).alias("x")
+    return rows.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "x.text", "x.source", "x.lang", "x.n_chars")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, **options) -> CoTrained | None:
+    """Fits on the bounded sample; None if it holds too few labels of a class."""
+    sample = _sample(docs, labels, max_labelled, max_pool)
 
     def run(batches):
         for b in batches:
@@ -175,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     x = np.array([r.x for r in rows]).reshape(len(rows), -1)
     y = np.array([np.nan if r.y is None else float(r.y > 0) for r in rows])
     has = ~np.isnan(y)
-    if has.sum() < 20 or len(set(y[has])) < 2 or len(set(y[has][4::5])) < 2:
+    if min((y == c).sum() for c in (0, 1)) < LEAST_LABELS:
         return None
     return CoTrained(x[has, :N_TEXT], x[has, N_TEXT:], y[has], x[~has, :N_TEXT], x[~has, N_TEXT:], **options)
 
