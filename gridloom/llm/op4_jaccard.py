@@ -5,7 +5,8 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
    The order is: shingles found often come last, then by id. Often means in at least one in HOT_PART classes of some
    block of a task's rows; such local counts are summed over all data, so the list covers everything and its length is
    bounded by HOT_PART times the mean set size. The list only moves work; any order is exact.
-2. (shingle, class) pairs of the prefixes meet by shingle, packed into binary blobs; those alone at a shingle go.
+2. (shingle, class) pairs of the prefixes meet by shingle, packed into binary blobs of buckets, FINE of them a partition,
+   that a sort brings together one after the other; those alone at a shingle go.
 3. Count vectors: hashing shingles into groups makes each class a point of group counts. For two sets the overlap is
    at most the sum of coordinate minima, and they link only if that reaches 3/7 of the sum of their sizes. A set of n
    has between n/4 and n/2 groups (64 at least), so that counts fit in 4 bits and the bound stays tight at every size;
@@ -13,8 +14,8 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
 4. First round: within each shingle's bucket, in size order, each class and the first of a fitting size become a
    candidate if they meet in many buckets; its bound is checked, then its sets; links merge classes into components.
 5. Buckets that still hold several components of fitting sizes get an R-tree: points sorted by size and packed into
-   leaves with bounding boxes; boxes, then points, are paired if the bound of minima allows a link and their components
-   differ. Second round: of all such pairs of a bucket the forest with the highest bounds is verified and merged, so a
+   leaves of LEAF with bounding boxes, boxes packed FAN at a time into the boxes above, up to one root; from the root
+   down, boxes, then points, are paired if the bound of minima allows a link and their components differ. Second round: of all such pairs of a bucket the forest with the highest bounds is verified and merged, so a
    group of near copies costs a forest, not all its pairs. Third round: every such pair lies in a cluster that the
    forests' edges connect; clusters that still hold several components are searched once, in tiles, and every pair whose
    components still differ is verified with whole sets. Links inside a component can't change it, so none is lost.
@@ -31,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, dealt, join_checked, map_arrow, sequence_hash, set_hash, signed, table, text_chunks, text_only
+from gridloom.llm.common import Words, dealt, drop, join_checked, join_hot, map_arrow, sequence_hash, set_hash, signed, table, text_chunks, text_only
 from gridloom.llm.components import connected_components
 
-K, LEAST_GROUPS, LEAF = 5, 64, 32
+K, LEAST_GROUPS, LEAF, FAN = 5, 64, 32, 8
 HOT_PART = 1000
 #: Stars of the first round meet in at least one of STAR_PART of the larger set's shingles: it only has to find most links.
 STAR_PART = 12
 BLOCK = 2048
+#: Buckets of packed pairs for each partition: a task holds one of them at a time.
+FINE = 8
+#: Possible links of a bucket that wait before they shrink to their forest.
+WAITING = 500_000
 #: Packed pairs: shingle, class.
 PAIR = np.dtype([("key", "<u8"), ("id", "<u8")])
 
@@ -150,32 +155,32 @@ _ROW = "kind int, bucket int, id long, n long, blob binary"
 
 
 def _shared(batches):
-    """Packed pairs of whole buckets -> kind 1, the (shingle, class) pairs whose shingle has several classes. Kind 0 passes."""
-    parts: dict[int, list[bytes]] = {}
+    """Packed pairs sorted by bucket -> kind 1, the (shingle, class) pairs whose shingle has several classes. Kind 0 passes."""
+    held, parts = None, []
     for b in batches:
         kind = b.column("kind").to_numpy()
         own = b.filter(pa.array(kind == 0))
         yield pa.RecordBatch.from_arrays([own.column("kind"), pa.array([None] * len(own), pa.int64()), *(own.column(c) for c in ("id", "n", "blob"))], names=["kind", "key", "id", "n", "blob"])
         blobs = b.filter(pa.array(kind == 1))
         for k, blob in zip(blobs.column("bucket").to_pylist(), blobs.column("blob").to_pylist(), strict=True):
-            parts.setdefault(k, []).append(blob)
-    for k in sorted(parts):
-        pairs = np.frombuffer(b"".join(parts.pop(k)), dtype=PAIR)
-        key, ids = pairs["key"].copy(), pairs["id"].copy()
-        order = np.argsort(key, kind="stable")
-        group = np.cumsum(np.append(True, key[order][1:] != key[order][:-1])) - 1
-        several = np.bincount(group)[group] > 1
-        key, ids = key[order][several], ids[order][several]
-        order = np.lexsort((ids, key))
-        key, ids = key[order], ids[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]
-        key, ids = key[new], ids[new]
-        group = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
-        several = np.bincount(group)[group] > 1 if len(key) else np.zeros(0, dtype=bool)
-        key, ids = signed(key[several]), signed(ids[several])
-        for at in range(0, len(key), 100_000):
-            m = len(key[at : at + 100_000])
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(key[at : at + m]), pa.array(ids[at : at + m]), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.binary())], names=["kind", "key", "id", "n", "blob"])
+            if k != held:
+                yield from _several(parts)
+                held, parts = k, []
+            parts.append(blob)
+    yield from _several(parts)
+
+
+def _several(parts: list[bytes]):
+    """A bucket's pairs whose shingle has several classes, each once."""
+    pairs = np.unique(np.frombuffer(b"".join(parts), dtype=PAIR))
+    if not len(pairs):
+        return
+    group = np.cumsum(np.append(True, pairs["key"][1:] != pairs["key"][:-1])) - 1
+    pairs = pairs[np.bincount(group)[group] > 1]
+    key, ids = signed(pairs["key"].copy()), signed(pairs["id"].copy())
+    for at in range(0, len(key), 100_000):
+        m = len(key[at : at + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(key[at : at + m]), pa.array(ids[at : at + m]), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.binary())], names=["kind", "key", "id", "n", "blob"])
 
 
 def _slices(batches, key: str):
@@ -235,41 +240,91 @@ def _fitting(batches):
         yield from t.take(pa.array(order[keep])).select(["key", "id", "n", "comp"]).to_batches()
 
 
-def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray):
-    """Index pairs of different components whose sum of coordinate minima allows a link, by a packed R-tree.
+def _reduced(ufunc, values: np.ndarray, step: int) -> np.ndarray:
+    return ufunc.reduceat(values, np.arange(0, len(values), step), axis=0)
+
+
+class Tree:
+    """A packed R-tree over points of one number of groups, in size order. Level 0 holds the leaves' boxes: greatest
+    coordinates, least and greatest size, and the component of a box that has only one (else -1)."""
+
+    def __init__(self, rows: np.ndarray, points: np.ndarray, sizes: np.ndarray, place: np.ndarray):
+        self.rows, self.points = rows, points
+        level, step = (points, sizes, sizes, place, place), LEAF
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        while not self.levels or len(level[0]) > 1:
+            level = tuple(_reduced(u, v, step) for u, v in zip((np.maximum, np.minimum, np.maximum, np.minimum, np.maximum), level, strict=True))
+            self.levels.append((*level[:3], np.where(level[3] == level[4], level[3], -1)))
+            step = FAN
+
+    def level(self, k: int):
+        return self.levels[min(k, len(self.levels) - 1)]
+
+
+def _joinable(a: Tree, b: Tree, k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of boxes of level k may hold a link between components."""
+    (top, least, most, alone), (far, least2, most2, alone2) = a.level(k), b.level(k)
+    ok = (100 * most[i] >= 75 * least2[j]) & (100 * most2[j] >= 75 * least[i]) & ~((alone[i] == alone2[j]) & (alone[i] >= 0))
+    g = min(top.shape[1], far.shape[1])
+    top, far, at = fold(top, g), fold(far, g), np.flatnonzero(ok)
+    for lo in range(0, len(at), max(1, (2 << 20) // g)):
+        part = at[lo : lo + max(1, (2 << 20) // g)]
+        overlap = np.minimum(top[i[part]], far[j[part]]).sum(axis=1, dtype=np.int64)
+        ok[part] = 7 * overlap >= 3 * (least[i[part]] + least2[j[part]])
+    return ok
+
+
+def _below(tree: Tree, k: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position in i, box) of the boxes of level k - 1 under the boxes i of level k."""
+    if k >= len(tree.levels):  # a lower tree waits at its root
+        return np.arange(len(i)), i
+    first = i * FAN
+    n = np.minimum(first + FAN, len(tree.levels[k - 1][0])) - first
+    of = np.repeat(np.arange(len(i)), n)
+    return of, first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _leaf_pairs(a: Tree, b: Tree):
+    """Pairs of leaves that may hold a link, from the roots down."""
+    top = max(len(a.levels), len(b.levels)) - 1
+    i = j = np.zeros(1, dtype=np.int64)
+    for k in range(top, -1, -1):
+        ok = _joinable(a, b, k, i, j)
+        i, j = i[ok], j[ok]
+        if k:
+            of, left = _below(a, k, i)
+            of2, right = _below(b, k, j[of])
+            i, j = left[of2], right
+            if a is b:
+                i, j = i[i <= j], j[i <= j]
+    return zip(i.tolist(), j.tolist(), strict=True)
+
 
-    Points in size order fill leaves of at most LEAF with one number of groups each; a leaf's box keeps its greatest
-    coordinates and its least and greatest size. The sum of minima of two boxes' upper corners bounds all pairs below."""
+def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, comp: np.ndarray):
+    """Index pairs of different components whose sum of coordinate minima allows a link, by packed R-trees, one for each
+    number of groups. The sum of minima of two boxes' upper corners bounds all pairs below."""
     groups = np.array([len(p) for p in points])
     order = np.lexsort((sizes, groups))
-    names, place = np.unique(comp, return_inverse=True)
-    leaves, tops, least, most, alone = [], [], [], [], []  # alone: the component of a leaf that has only one
+    place = np.unique(comp, return_inverse=True)[1]
+    trees = []
     for g in np.unique(groups):
         own = order[groups[order] == g]
-        for at in range(0, len(own), LEAF):
-            leaf = own[at : at + LEAF]
-            leaves.append((leaf, np.array([points[x] for x in leaf])))
-            tops.append(leaves[-1][1].max(axis=0))
-            least.append(sizes[leaf].min())
-            most.append(sizes[leaf].max())
-            alone.append(place[leaf[0]] if (place[leaf] == place[leaf[0]]).all() else -1)
-    for i, (own, mine) in enumerate(leaves):
-        for j in range(i, len(leaves)):
-            far, theirs = leaves[j]
-            if 100 * most[i] < 75 * least[j] or 100 * most[j] < 75 * least[i] or alone[i] == alone[j] >= 0:
-                continue
-            g = min(mine.shape[1], theirs.shape[1])
-            if 7 * np.minimum(fold(tops[i], g), fold(tops[j], g)).sum() < 3 * (least[i] + least[j]):
-                continue
-            left, right = fold(mine, g), fold(theirs, g)
-            step = max(1, (2 << 20) // right.size)  # a few MB at a time, however long the points
-            overlap = np.concatenate([np.minimum(left[k : k + step, None], right).sum(axis=2, dtype=np.int64) for k in range(0, len(left), step)])
-            total = sizes[own][:, None] + sizes[far]
-            x, y = np.nonzero((place[own][:, None] != place[far]) & (7 * overlap >= 3 * total))
-            if i == j:
-                x, y = x[x < y], y[x < y]
-            if len(x):
-                yield own[x], far[y], overlap[x, y] / total[x, y]
+        trees.append(Tree(own, np.array([points[x] for x in own]), sizes[own], place[own]))
+    for at, a in enumerate(trees):
+        for b in trees[at:]:
+            g = min(a.points.shape[1], b.points.shape[1])
+            left_points, right_points = fold(a.points, g), fold(b.points, g)
+            for i, j in _leaf_pairs(a, b):
+                own, far = a.rows[i * LEAF : (i + 1) * LEAF], b.rows[j * LEAF : (j + 1) * LEAF]
+                left, right = left_points[i * LEAF : (i + 1) * LEAF], right_points[j * LEAF : (j + 1) * LEAF]
+                step = max(1, (2 << 20) // right.size)  # a few MB at a time, however long the points
+                overlap = np.concatenate([np.minimum(left[k : k + step, None], right).sum(axis=2, dtype=np.int64) for k in range(0, len(left), step)])
+                total = sizes[own][:, None] + sizes[far]
+                x, y = np.nonzero((place[own][:, None] != place[far]) & (7 * overlap >= 3 * total))
+                if a is b and i == j:
+                    x, y = x[x < y], y[x < y]
+                if len(x):
+                    yield own[x], far[y], overlap[x, y] / total[x, y]
 
 
 def best_forest(n: int, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -322,7 +377,7 @@ def _chains(batches):
             kept, waiting = [np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)], []
             for found in tree_pairs(points, n, comp):
                 waiting.append(found)
-                if sum(len(w[0]) for w in waiting) > 500_000:
+                if sum(len(w[0]) for w in waiting) > WAITING:
                     kept, waiting = _best(len(ids), kept, waiting), []
             a, b, _ = _best(len(ids), kept, waiting)
             if len(a):
@@ -352,14 +407,14 @@ def _tile(t: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
 
-def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: DataFrame, members: DataFrame, block: int) -> DataFrame:
     """(a, b): every possible link between components. All lie inside the clusters that the forests' edges, linking or
-    not, connect; a cluster is searched once, in tiles of two blocks of at most about BLOCK classes, with points of so
+    not, connect; a cluster is searched once, in tiles of two blocks of at most about `block` classes, with points of so
     many groups that few pairs pass that don't link."""
     clusters = connected_components(chains, "a", "b")
     at = clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")).join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
     at = table(at.select("id", "cluster", F.coalesce("component", "id").alias("comp")))
-    sizes = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    sizes = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = table(at.join(sizes, "cluster").join(classes.select("id", "n"), "id"))
     fine = _from_texts(docs, rows.select("id"), members, lambda s: point(s, fine=True))
     rows = rows.join(fine, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
@@ -421,14 +476,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFram
 
 def _spots(sized: DataFrame, comp: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     """(key, id, n, comp, blob), sorted by shingle: the rows whose bucket holds another component of a fitting size."""
-    labelled = sized.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    labelled = table(sized.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp")))
+    mixed = table(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m"))
+    labelled = join_hot(labelled, mixed, "key", "m").select("key", "id", "n", "comp")  # most buckets are one component by now
     fitting = table(map_arrow(labelled.repartition(parts, "key").sortWithinPartitions("key"), _fitting, "key long, id long, n long, comp long"))
     placed = fitting.join(classes.select("id", "blob"), "id").select("key", "id", "n", "comp", "blob")
     return placed.repartition(parts, "key").sortWithinPartitions("key")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id): one row per row of docs."""
+def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id): one row per row of docs; block: classes of a block of the third round's tiles."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = text_only(docs)
@@ -437,8 +494,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = members.where("n > 0").count()
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= max(8, total / HOT_PART)).select("a")
     hot = np.sort(often.toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))  # bounded, see above
-    spread = map_arrow(texts.where("doc_id IS NOT NULL"), _prefixes(spark.sparkContext.broadcast(hot), parts), _ROW)
-    spread = table(map_arrow(dealt(spread, "bucket"), _shared, "kind int, key long, id long, n long, blob binary"), "kind")
+    spread = map_arrow(texts.where("doc_id IS NOT NULL"), _prefixes(spark.sparkContext.broadcast(hot), FINE * parts), _ROW)
+    spread = table(map_arrow(dealt(spread, "bucket").sortWithinPartitions("bucket"), _shared, "kind int, key long, id long, n long, blob binary"), "kind")
     classes = table(spread.where("kind = 0").groupBy("id").agg(F.min("n").alias("n"), F.min("blob").alias("blob")))
     shared = spread.where("kind = 1").select("key", "id")
     sized = table(shared.join(classes.select("id", "n"), "id"))
@@ -451,15 +508,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     chains = table(map_arrow(spots, _chains, "a long, b long").distinct())
     links = table(links.unionByName(_verified(docs, chains, members)))
     comp = connected_components(links, "a", "b")
-    across = table(_left_pairs(docs, chains, comp, classes, members))
+    across = table(_left_pairs(docs, chains, comp, classes, members, block))
     more = _verified(docs, across, members)
     comp = connected_components(links.unionByName(more), "a", "b")
     # classes -> documents
-    named = members.where("n > 0 AND doc_id IS NOT NULL").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    own = table(named.select("h1", "component").distinct().join(least, "component").select("h1", "component_id"))
-    out = members.join(own, "h1", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    named = table(named.join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1")))
+    least = table(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
+    own = table(join_hot(named, least, "component", "m").select("h1", "copies", "component_id"))
+    linked = join_hot(members.where("n > 0 AND doc_id IS NOT NULL"), own, "h1", "copies")
+    alone = members.where("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    drop(spread, classes, sized)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
