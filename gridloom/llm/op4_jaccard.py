@@ -170,14 +170,23 @@ def _shared(batches):
     yield from _several(parts)
 
 
+def _met(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, sorted by key, whose key has several."""
+    same = key[1:] == key[:-1]
+    keep = np.append(False, same)[: len(key)] | np.append(same, False)[: len(key)]
+    return key[keep], ids[keep]
+
+
 def _several(parts: list[bytes]):
     """A bucket's pairs whose shingle has several classes, each once."""
-    pairs = np.unique(np.frombuffer(b"".join(parts), dtype=PAIR))
-    if not len(pairs):
-        return
-    group = np.cumsum(np.append(True, pairs["key"][1:] != pairs["key"][:-1])) - 1
-    pairs = pairs[np.bincount(group)[group] > 1]
-    key, ids = signed(pairs["key"].copy()), signed(pairs["id"].copy())
+    pairs = np.frombuffer(b"".join(parts), dtype=PAIR)
+    key, ids = pairs["key"].copy(), pairs["id"].copy()
+    order = np.argsort(key, kind="stable")
+    key, ids = _met(key[order], ids[order])
+    order = np.lexsort((ids, key))
+    key, ids = key[order], ids[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))[: len(key)]
+    key, ids = map(signed, _met(key[new], ids[new]))
     for at in range(0, len(key), 100_000):
         m = len(key[at : at + 100_000])
         yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(key[at : at + m]), pa.array(ids[at : at + m]), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.binary())], names=["kind", "key", "id", "n", "blob"])
@@ -407,7 +416,7 @@ def _tile(t: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
 
 
-def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: DataFrame, members: DataFrame, block: int) -> DataFrame:
+def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: DataFrame, firsts: DataFrame, block: int) -> DataFrame:
     """(a, b): every possible link between components. All lie inside the clusters that the forests' edges, linking or
     not, connect; a cluster is searched once, in tiles of two blocks of at most about `block` classes, with points of so
     many groups that few pairs pass that don't link."""
@@ -416,7 +425,7 @@ def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: Da
     at = table(at.select("id", "cluster", F.coalesce("component", "id").alias("comp")))
     sizes = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = table(at.join(sizes, "cluster").join(classes.select("id", "n"), "id"))
-    fine = _from_texts(docs, rows.select("id"), members, lambda s: point(s, fine=True))
+    fine = _from_texts(docs, rows.select("id"), firsts, lambda s: point(s, fine=True))
     rows = rows.join(fine, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
     tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("ta", F.least("block", "other")).withColumn("tb", F.greatest("block", "other"))
     return tiles.select("cluster", "ta", "tb", "id", "n", "comp", "block", "blob").groupBy("cluster", "ta", "tb").applyInArrow(_tile, "a long, b long")
@@ -439,10 +448,10 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "na", "nb", "va", "vb"), run, "a long, b long")
 
 
-def _from_texts(docs: DataFrame, wanted: DataFrame, members: DataFrame, make) -> DataFrame:
+def _from_texts(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, make) -> DataFrame:
     """(id, blob): make(set) of the wanted classes, from the texts of their first documents."""
-    first = members.where("doc_id IS NOT NULL").join(wanted.withColumnRenamed("id", "h1"), "h1", "left_semi").groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
-    texts = join_checked(text_only(docs), table(first.select("doc_id")), "doc_id", "left_semi")
+    first = firsts.join(wanted.withColumnRenamed("id", "h1"), "h1", "left_semi")
+    texts = join_checked(text_only(docs), table(first.select("doc_id").distinct()), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -455,10 +464,10 @@ def _from_texts(docs: DataFrame, wanted: DataFrame, members: DataFrame, make) ->
     return table(map_arrow(texts, run, "id long, blob binary").dropDuplicates(["id"]))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs that link, by the whole sets of their classes."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _from_texts(docs, ends, members, lambda s: s.tobytes())
+    sets = _from_texts(docs, ends, firsts, lambda s: s.tobytes())
     side = lambda s: sets.select(F.col("id").alias(s), F.col("blob").alias(f"s{s}"))
 
     def run(batches):
@@ -491,6 +500,7 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = text_only(docs)
     survey = table(map_arrow(texts, _survey, "kind long, a long, b long, h1 long, h2 long").withColumn("kind", F.col("kind").cast("int")), "kind")
     members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "h1", "h2")
+    firsts = table(members.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     total = members.where("n > 0").count()
     often = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("c")).where(F.col("c") >= max(8, total / HOT_PART)).select("a")
     hot = np.sort(often.toArrow().column("a").to_numpy().astype(np.int64).view(np.uint64))  # bounded, see above
@@ -502,18 +512,17 @@ def jaccard_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     near = map_arrow(sized.repartition(parts, "key").sortWithinPartitions("key"), _stars, "a long, b long, n long, times long")
     near = near.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("times").alias("times")).where(F.col("times") * STAR_PART >= F.col("n"))
     first_round = table(_bounded(near.select("a", "b"), classes))
-    links = _verified(docs, first_round, members)
+    links = _verified(docs, first_round, firsts)
     comp = connected_components(links, "a", "b")
     spots = _spots(sized, comp, classes, parts)
     chains = table(map_arrow(spots, _chains, "a long, b long").distinct())
-    links = table(links.unionByName(_verified(docs, chains, members)))
+    links = table(links.unionByName(_verified(docs, chains, firsts)))
     comp = connected_components(links, "a", "b")
-    across = table(_left_pairs(docs, chains, comp, classes, members, block))
-    more = _verified(docs, across, members)
+    across = table(_left_pairs(docs, chains, comp, classes, firsts, block))
+    more = _verified(docs, across, firsts)
     comp = connected_components(links.unionByName(more), "a", "b")
     # classes -> documents
-    named = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    named = table(named.join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1")))
+    named = table(firsts.withColumnRenamed("doc_id", "least").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1")))
     least = table(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m")))
     own = table(join_hot(named, least, "component", "m").select("h1", "copies", "component_id"))
     linked = join_hot(members.where("n > 0 AND doc_id IS NOT NULL"), own, "h1", "copies")
