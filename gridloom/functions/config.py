@@ -53,6 +53,22 @@ def _entries(df: DataFrame) -> DataFrame:
     return df.sparkSession.sql("SELECT t.case_id, t.grp, e.pos AS entry, e.value AS v FROM {t} t, LATERAL variant_explode(t.__v) e", t=view)
 
 
+def heater_rows(cases: DataFrame) -> DataFrame:
+    """(case_id, heater, keys, type, xMin, xMax, wall_temp, wall_temp_fraction, nuc_sites_*, nuc_seed_radii) of every heater
+    of (case_id, config VARIANT); an absent key is null."""
+    top = _explode(cases.select("case_id", F.col("config").alias("__c")), "__c", ["case_id"], "grp").where("grp = 'heaters'")
+    entries = _entries(top.where(kind_of(F.col("v")) == "records"))
+    named = _explode(entries, "v", ["case_id", "entry"], "name").groupBy("case_id", "entry").agg(F.sort_array(F.collect_set("name")).alias("keys"))
+    get = lambda n, kind: F.try_variant_get("v", f"$.{n}", kind).alias(n)
+    typed = entries.select("case_id", "entry", get("type", "string"), *[get(n, "double") for n in ("xMin", "xMax", "yMin", "yMax", "wall_temp", "wall_temp_fraction")], *[get(n, "array<double>") for n in ("nuc_sites_x", "nuc_sites_y", "nuc_sites_z", "nuc_seed_radii")])
+    return typed.join(named, ["case_id", "entry"]).withColumnRenamed("entry", "heater")
+
+
+def side_types(cases: DataFrame) -> DataFrame:
+    """(case_id, left_type, right_type, bottom_type, top_type) of (case_id, config VARIANT)."""
+    return cases.select("case_id", *[F.try_variant_get("config", f"$.boundary.{side}.type", "string").alias(f"{side}_type") for side in ("left", "right", "bottom", "top")])
+
+
 def upgrade(record: Mapping) -> dict:
     """A configuration record of any age in today's form: boundary types leave the discretization (always, even where
     the side has one), renamed keys get their new names unless both are there, heaters get a type and a wall temperature."""

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from gridloom.api import Cases
 from gridloom.operators import checks, dmd, split
-from gridloom.sources import tables
+from gridloom.sources import tables, texts
 
 
 def _slice(text: str) -> slice:
@@ -22,15 +22,14 @@ def statistics_job(spark: SparkSession, a) -> int:
     """Statistics of a store's cases (those of a split's training part, if given) as JSON."""
     cases = Cases.from_tables(spark, a.store)
     if a.split:
-        train = json.loads(Path(a.split).read_text())["train"]
-        cases = Cases(cases.rows.where(cases.rows.case_id.isin(train)), cases.frames, cases.grid, cases.params.where(cases.params.case_id.isin(train)))
+        cases = cases.selected(texts.split_manifest(spark, a.split).where("split = 'train'"))
     Path(a.output).write_text(tables.statistics_json(*cases.statistics()))
     return 0
 
 
 def check_job(spark: SparkSession, a) -> int:
     """Prints a store's issues; 1 if any is an error."""
-    issues = Cases.from_tables(spark, a.store, a.fields or None, _slice(a.frames) if a.frames else None).check().persist()
+    issues = Cases.from_tables(spark, a.store, a.fields or None, _slice(a.frames) if a.frames else None, a.mirror).check().persist()
     for r in issues.toLocalIterator():
         print(f"{r.case_id} [{r.severity}] {r.check}: {r.message}")
     return checks.exit_code(issues)
@@ -47,8 +46,7 @@ def dmd_job(spark: SparkSession, a) -> int:
 
 def split_job(spark: SparkSession, a) -> int:
     """A split manifest of a store's cases; refuses to write over one."""
-    names = [r.case_id for r in spark.read.parquet(f"{a.store}/cases").select("case_id").collect()]
-    manifest = split.assign(names, a.fractions, a.seed)
+    manifest = split.manifest(split.split_cases(spark.read.parquet(f"{a.store}/cases"), a.fractions, a.seed))
     if Path(a.output).exists():
         raise FileExistsError(a.output)
     if not a.dry_run:
@@ -57,6 +55,13 @@ def split_job(spark: SparkSession, a) -> int:
     return 0
 
 
+def convert_job(spark: SparkSession, a) -> int:
+    """A new store of a store's cases: the fields and frames asked for, mirrored if asked. Cases are written side by side."""
+    found = Cases.from_tables(spark, a.store, a.fields or None, _slice(a.frames) if a.frames else None, a.mirror)
+    found.to_tables(a.output, spark.read.parquet(f"{a.store}/cases").drop("num_frames"))
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     top = argparse.ArgumentParser(prog="gridloom.jobs")
     sub = top.add_subparsers(required=True)
@@ -68,8 +73,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         for flags, kw in options:
             p.add_argument(*flags, **kw)
 
+    chosen = (("--fields",), {"nargs": "*"}), (("--frames",), {}), (("--mirror",), {"action": "store_true"})
     add("statistics", statistics_job, (("--split",), {}), (("--output",), {"required": True}))
-    add("check", check_job, (("--fields",), {"nargs": "*"}), (("--frames",), {}))
+    add("check", check_job, *chosen)
+    add("convert", convert_job, *chosen, (("--output",), {"required": True}))
     add("dmd", dmd_job, (("case",), {}), (("field",), {}), (("--rank",), {"type": int, "default": 20}), (("--output",), {"required": True}))
     add("split", split_job, (("--fractions",), {"nargs": 3, "type": float, "default": [0.8, 0.1, 0.1]}), (("--seed",), {"type": int, "default": 0}), (("--output",), {"required": True}), (("--dry-run",), {"action": "store_true"}))
     args = top.parse_args(argv)

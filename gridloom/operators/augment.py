@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import hash_uniform
-from gridloom.operators.symmetry import flip_rows, flippable
+from gridloom.operators.symmetry import flip_rows, flippable, reflect_heaters, swap_sides
 
 
 def choose_flips(samples: DataFrame, probability: float = 0.5, seed: int = 0, key: str = "window_id") -> DataFrame:
@@ -32,6 +32,21 @@ def flip_augmentation(rows: DataFrame, probability: float = 0.5, seed: int = 0,
     return flip_rows(choose_flips(rows, probability, seed, key)).drop("flip_x", "flip_y")
 
 
+def flip_samples(rows: DataFrame, heaters: DataFrame, sides: DataFrame, probability: float = 0.5, seed: int = 0, training: bool = True, key: str = "window_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Samples with their configurations: the lines, heaters and boundaries of a sample share its flips.
+
+    rows carry gravx, gravy, gravz and ny; heaters (key, x_min, x_max, y_min, y_max, xMin, xMax, yMin, yMax, nuc_sites_x,
+    nuc_sites_y); sides (key, left_type, right_type, bottom_type, top_type)."""
+    if not training or probability == 0:
+        return rows, heaters, sides
+    drawn = choose_flips(rows.select(key, "gravx", "gravy", "gravz").distinct(), probability, seed, key).select(key, "flip_x", "flip_y")
+    rows, heaters, sides = (t.join(drawn, key) for t in (rows, heaters, sides))
+    for axis in "xy":
+        heaters = reflect_heaters(heaters, axis, f"{axis}_min", f"{axis}_max", f"flip_{axis}")
+        sides = swap_sides(sides, axis, f"flip_{axis}")
+    return tuple(t.drop("flip_x", "flip_y") for t in (flip_rows(rows), heaters, sides))
+
+
 def noise_std(low: float, high: float, seed: int, key: str):
     """A log-uniform std for each sample."""
     if not 0 < low <= high:

@@ -6,12 +6,14 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import positive_or_one, standardize, unstandardize
 from gridloom.session import ship_package
 
+SCALINGS = ("min_max", "standard")
+
 
 @dataclass
 class Normalizer:
@@ -24,16 +26,22 @@ class Normalizer:
     vector_fields: Sequence[Sequence[str]] = field(default_factory=tuple)
 
     def __post_init__(self) -> None:
-        if self.config_scaling not in ("min_max", "standard"):
-            raise ValueError(f"config scaling is min_max or standard, not {self.config_scaling!r}")
-        names = [n for group in self.vector_fields for n in group]
-        if len(names) != len(set(names)):
-            raise ValueError("a field is in more than one vector field")
-        for group in self.vector_fields:
-            if len(group) < 2:
-                raise ValueError(f"a vector field has two components or more, not {list(group)}")
-            for n in group:
-                self._require(n)
+        if self.config_scaling not in SCALINGS:
+            raise ValueError(f"unknown scaling of configurations: {self.config_scaling!r}")
+        if self.vector_fields and (found := [r.problem for r in vector_problems(self.members(), self.statistics()).collect()]):  # a row a component at most
+            raise ValueError("vector fields: " + "; ".join(sorted(found)))
+
+    def members(self) -> DataFrame:
+        """(vector, field): the components of each vector field."""
+        return SparkSession.active().createDataFrame([(k, n) for k, names in enumerate(self.vector_fields) for n in names], "vector int, field string")
+
+    def statistics(self) -> DataFrame:
+        """(field, mean, std)."""
+        return SparkSession.active().createDataFrame([(n, float(v["mean"]), float(v["std"])) for n, v in self.field_stats.items()], "field string, mean double, std double")
+
+    def scales(self) -> DataFrame:
+        """(field, offset, scale) of every field."""
+        return field_scales(self.statistics(), self.members())
 
     @classmethod
     def from_tables(cls, field_stats: DataFrame, config_stats: DataFrame, **options) -> Normalizer:
@@ -48,39 +56,21 @@ class Normalizer:
     def from_json(cls, text: str) -> Normalizer:
         return cls(**json.loads(text))
 
-    def _require(self, name: str) -> dict[str, float]:
-        if name not in self.field_stats:
-            raise KeyError(f"no statistics for field {name!r}; there are {sorted(self.field_stats)}")
-        return self.field_stats[name]
-
-    def offset_and_scale(self, name: str) -> tuple[float, float]:
-        """Of a field: mean and std (1 if not positive); components of a vector share their RMS and keep their zero."""
-        own = self._require(name)
-        for group in self.vector_fields:
-            if name in group:
-                square = sum(self.field_stats[n]["std"] ** 2 + self.field_stats[n]["mean"] ** 2 for n in group) / len(group)
-                return 0.0, square**0.5 if square > 0 else 1.0
-        return own["mean"], own["std"] if own["std"] > 0 else 1.0
-
-    def _scales(self, rows: DataFrame, names: list[str]) -> DataFrame:
-        table = rows.sparkSession.createDataFrame([(n, *map(float, self.offset_and_scale(n))) for n in names], "field string, offset double, scale double")
-        known = rows.join(F.broadcast(table), "field", "left")
-        fail = F.raise_error(F.concat(F.lit("no statistics for field "), F.col("field"))).cast("double")
-        return known.withColumn("scale", F.when(F.col("scale").isNull(), fail).otherwise(F.col("scale")))
-
     def normalize_fields(self, rows: DataFrame) -> DataFrame:
-        return self._apply(rows, standardize)
+        """rows with vals (or value) scaled and marked so; rows that are marked already are an error."""
+        return State.mark(self._apply(rows, standardize), True, _values(rows))
 
     def unnormalize_fields(self, rows: DataFrame) -> DataFrame:
-        return self._apply(rows, unstandardize)
+        """The inverse; rows that aren't marked are an error."""
+        return State.mark(self._apply(rows, unstandardize), False, _values(rows))
 
     def _apply(self, rows: DataFrame, step: Callable) -> DataFrame:
-        scaled = self._scales(rows, sorted(self.field_stats))
-        if "vals" in rows.columns:
-            out = scaled.withColumn("vals", F.transform("vals", lambda v: step(v, F.col("offset"), F.col("scale"))))
-        else:
-            out = scaled.withColumn("value", step(F.col("value"), F.col("offset"), F.col("scale")))
-        return out.select(*rows.columns)
+        known = rows.join(F.broadcast(self.scales()), "field", "left")  # a row a field name
+        lacking = F.raise_error(F.concat(F.lit("field without statistics: "), F.col("field"))).cast("double")
+        offset, scale = F.col("offset"), F.when(F.col("scale").isNull(), lacking).otherwise(F.col("scale"))
+        column = _values(rows)
+        scaled = F.transform(column, lambda v: step(v, offset, scale)) if column == "vals" else step(F.col(column), offset, scale)
+        return known.withColumn(column, scaled.alias(column, metadata=rows.schema[column].metadata)).select(*rows.columns)
 
     def normalize_config(self, params: DataFrame, inverse: bool = False) -> DataFrame:
         """The long configuration table with every number scaled but the discretization's; strings, bools and plain
@@ -97,7 +87,31 @@ class Normalizer:
         """normalize -> model (a mapInArrow function over field lines) -> unnormalize the fields only; configurations
         stay out of the round trip, so they come back bit for bit."""
         ship_package(samples.sparkSession)
-        return self.unnormalize_fields(self.normalize_fields(samples).mapInArrow(fn, schema))
+        made = self.normalize_fields(samples).mapInArrow(fn, schema)
+        return self.unnormalize_fields(State.mark(made, True, _values(made)))
+
+
+def _values(rows: DataFrame) -> str:
+    return "vals" if "vals" in rows.columns else "value"
+
+
+def vector_problems(members: DataFrame, stats: DataFrame) -> DataFrame:
+    """(problem) of (vector, field) components: alone in their vector, there several times, or without statistics."""
+    known = members.join(stats.select("field", F.lit(True).alias("known")), "field", "left")
+    counted = known.withColumn("alone", F.count("*").over(Window.partitionBy("vector")) < 2).withColumn("shared", F.count("*").over(Window.partitionBy("field")) > 1)
+    kinds = (F.col("alone"), " is the only component"), (F.col("shared"), " is there several times"), (F.col("known").isNull(), " has no statistics")
+    told = F.filter(F.array(*[F.when(c, F.concat("field", F.lit(t))) for c, t in kinds]), lambda x: x.isNotNull())
+    return counted.select(F.explode(told).alias("problem")).distinct()
+
+
+def field_scales(stats: DataFrame, members: DataFrame) -> DataFrame:
+    """(field, offset, scale) from (field, mean, std): the mean and std of a field by itself; the components of a vector keep
+    their zero and share the root of their mean square. A scale that isn't positive is 1."""
+    parts = members.join(stats, "field")
+    rms = F.sqrt(F.avg(F.col("std") * F.col("std") + F.col("mean") * F.col("mean")).over(Window.partitionBy("vector")))
+    shared = parts.select("field", rms.alias("rms"))
+    both = stats.join(shared, "field", "left")
+    return both.select("field", F.expr("CASE WHEN rms IS NULL THEN mean ELSE 0D END").alias("offset"), positive_or_one(F.coalesce("rms", "std")).alias("scale"))
 
 
 def config_scales(stats: DataFrame, scaling: str = "min_max") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from gridloom.functions.expr import reflected
 from gridloom.functions.fixed import GRAVITY, NEGATED_BY_X_FLIP, NEGATED_BY_Y_FLIP
@@ -31,6 +32,12 @@ def mirror_rows(rows: DataFrame, x: str = "x", negated=NEGATED_BY_X_FLIP) -> Dat
     return rows.withColumn("__v", vals).withColumn("__x", coords).drop("vals", x).withColumnRenamed("__v", "vals").withColumnRenamed("__x", x)
 
 
+def mirror_grid(grid: DataFrame) -> DataFrame:
+    """(case_id, axis, loc, coords): the x coordinates over the full domain, others as they are."""
+    whole = F.concat(_image("coords", on_axis(F.get("coords", F.lit(0))), F.lit(-1.0)), "coords")
+    return grid.withColumn("coords", F.when(F.col("axis") == "x", whole).otherwise(F.col("coords")))
+
+
 def _picked(name: str) -> Column:
     return F.transform("__k", lambda k: F.get(F.col(name), k))
 
@@ -68,6 +75,8 @@ def flippable(gravx="gravx", gravy="gravy", gravz="gravz") -> Column:
 
 def flip_rows(rows: DataFrame, flip_x: str = "flip_x", flip_y: str = "flip_y") -> DataFrame:
     """Lines reflected where the row's flags say so: x turns lines over, y renumbers them (ny: lines of the field)."""
+    if isinstance(rows.schema["vals"].dataType.elementType, ArrayType):
+        raise ValueError("only two-dimensional fields are flipped: a line is an array of numbers")
     neg_x = F.col("field").isin(list(NEGATED_BY_X_FLIP)) & F.col(flip_x)
     neg_y = F.col("field").isin(list(NEGATED_BY_Y_FLIP)) & F.col(flip_y)
     turned = F.when(F.col(flip_x), reflected("vals")).otherwise(F.col("vals"))

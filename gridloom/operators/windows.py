@@ -57,6 +57,16 @@ def window_rows(windows: DataFrame, rows: DataFrame, n_input: int, n_target: int
     return out.withColumn("frame", F.when(F.col("part") == "input", F.col("offset")).otherwise(F.col("offset") - n_input)).drop("offset", "start")
 
 
+def case_rows(samples: DataFrame, part: str = "input") -> DataFrame:
+    """The inverse for one part of window_rows: its lines as cases named by their windows. Normalized lines are an error,
+    as a case's values are in its own units."""
+    from gridloom.operators.normalize import State
+
+    if State.of(samples, "vals"):
+        raise ValueError("normalized samples are no cases: unnormalize them first")
+    return samples.where(F.col("part") == part).select(F.col("window_id").alias("case_id"), "field", "frame", "j", "vals")
+
+
 def window_at(windows: DataFrame, index: int) -> DataFrame:
     """One window by its number; out of range, negatives included, is an error."""
     found = windows.where(F.col("window_id") == index)

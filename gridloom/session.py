@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,15 @@ def build_session(master: str = "local[*]", app: str = "gridloom", **conf: str)
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder where all executors can read and write: under spark.checkpoint.dir, or a temporary one if everything
+    runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='gridloom-')}/scratch/{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in Python workers: where PYTHONPATH doesn't name its folder, a zip of its
     sources goes out with the job (the driver's file server delivers it to every executor)."""

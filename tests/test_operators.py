@@ -1,7 +1,9 @@
 """Analytic checks of the grid operators on small hand-made cases."""
 
+import functools
 import json
 import math
+import random
 import types
 
 import numpy as np
@@ -239,6 +241,23 @@ def test_flips_undo_themselves(spark):
             g.select(symmetry.flippable()).collect()
 
 
+def test_flips_carry_the_configuration(spark):
+    x = np.random.default_rng(5).normal(size=(1, 3, 4))
+    parts = [lines(spark, {"velx": x}).withColumn("window_id", F.lit(k)) for k in range(40)]
+    rows = functools.reduce(lambda a, b: a.unionByName(b), parts).withColumns({"ny": F.lit(3), "gravx": F.lit(0.0), "gravy": F.lit(-1.0), "gravz": F.lit(0.0)})
+    heaters = spark.createDataFrame([(k, 0.0, 4.0, 0.0, 1.0, 0.5, 1.5, 0.0, 0.1, [1.0], [0.2]) for k in range(40)], "window_id int, x_min double, x_max double, y_min double, y_max double, xMin double, xMax double, yMin double, yMax double, nuc_sites_x array<double>, nuc_sites_y array<double>")
+    sides = spark.createDataFrame([(k, "slip_ins", "noslip_ins", "noslip_ins", "outflow_ins") for k in range(40)], "window_id int, left_type string, right_type string, bottom_type string, top_type string")
+    flipped, h, s = augment.flip_samples(rows, heaters, sides, 0.5, 9)
+    turned = {r.window_id: r.vals == [-v for v in reversed(x[0, 0].tolist())] for r in flipped.where("j = 0").collect()}
+    assert 5 < sum(turned.values()) < 35
+    for r in h.collect():
+        assert (r.xMin, r.xMax, r.nuc_sites_x, r.yMin, r.nuc_sites_y) == ((2.5, 3.5, [3.0], 0.0, [0.2]) if turned[r.window_id] else (0.5, 1.5, [1.0], 0.0, [0.2]))
+    for r in s.collect():
+        assert (r.left_type, r.right_type, r.bottom_type) == (("noslip_ins", "slip_ins") if turned[r.window_id] else ("slip_ins", "noslip_ins")) + ("noslip_ins",)
+    with pytest.raises(ValueError, match="two-dimensional"):
+        symmetry.flip_rows(spark.createDataFrame([([[1.0]], "velx", 0, 1, True, True)], "vals array<array<double>>, field string, j int, ny int, flip_x boolean, flip_y boolean"))
+
+
 def test_noise_has_its_bounds(spark):
     rows = lines(spark, {"f": np.zeros((1, 100, 200)), "g": np.zeros((1, 1, 5))}).withColumn("window_id", F.lit(3)).withColumn("part", F.lit("input"))
     noisy = augment.noise_augmentation(rows, 0.1, 0.1, seed=1, fields=["f"])
@@ -257,7 +276,8 @@ def test_normalization(spark):
     stats = {"temperature": dict(count=2, mean=1.0, std=2.0, min=0.0, max=3.0), "velx": dict(count=2, mean=0.0, std=3.0, min=0.0, max=3.0), "vely": dict(count=2, mean=4.0, std=0.0, min=4.0, max=4.0)}
     config = {"physical.bulk_temp": dict(count=2, mean=50.0, std=10.0, min=40.0, max=80.0), "non_dimensional.gravy": dict(count=2, mean=-1.0, std=0.0, min=-1.0, max=-1.0)}
     n = normalize.Normalizer(stats, config, vector_fields=[("velx", "vely")])
-    assert n.offset_and_scale("velx") == n.offset_and_scale("vely") == (0.0, pytest.approx(math.sqrt(12.5)))
+    scales = {r.field: (r.offset, r.scale) for r in n.scales().collect()}
+    assert scales == {"temperature": (1.0, 2.0), "velx": (0.0, pytest.approx(math.sqrt(12.5))), "vely": (0.0, pytest.approx(math.sqrt(12.5)))}
     rows = lines(spark, {"temperature": [[[5.0, 1.0]]]})
     assert n.normalize_fields(rows).first().vals == [2.0, 0.0]
     assert n.unnormalize_fields(n.normalize_fields(rows)).first().vals == [5.0, 1.0]
@@ -266,12 +286,17 @@ def test_normalization(spark):
     assert [v for k, v in got if k == "bulk_temp"] == [-1.0, 0.0, 1.0] and ("gravy", 0.0) in got and ("nx", 16.0) in got
     standard = normalize.Normalizer(stats, config, "standard")
     assert [r.value for r in standard.normalize_config(p.where("name = 'bulk_temp'")).collect()] == [-1.0, 1.0, 3.0]
-    assert normalize.Normalizer.from_json(n.to_json()).offset_and_scale("velx") == n.offset_and_scale("velx")
-    for bad in ({"config_scaling": "other"}, {"vector_fields": [["velx"]]}, {"vector_fields": [["velx", "vely"], ["velx", "temperature"]]}):
+    assert {r.field: (r.offset, r.scale) for r in normalize.Normalizer.from_json(n.to_json()).scales().collect()} == scales
+    for twice in (lambda: n.normalize_fields(n.normalize_fields(rows)), lambda: n.unnormalize_fields(rows)):
+        with pytest.raises(ValueError, match="already"):
+            twice()
+    with pytest.raises(ValueError, match="no cases"):
+        windows.case_rows(n.normalize_fields(rows).withColumn("part", F.lit("input")))
+    for bad in ({"config_scaling": "other"}, {"vector_fields": [["velx"]]}, {"vector_fields": [["velx", "vely"], ["velx", "temperature"]]}, {"vector_fields": [["velx", "pressure"]]}):
         with pytest.raises(ValueError):
             normalize.Normalizer(stats, config, **bad)
-    with pytest.raises(KeyError):
-        n.offset_and_scale("pressure")
+    with pytest.raises(Exception, match="pressure"):
+        n.normalize_fields(rows.withColumn("field", F.lit("pressure"))).collect()
     with pytest.raises(Exception, match="physical.unknown"):
         n.normalize_config(p.withColumn("name", F.lit("unknown")).where("grp = 'physical' AND kind = 'number'")).collect()
 
@@ -322,13 +347,20 @@ def test_faces_unstack(spark):
     assert df.select(windows.unstack_faces("lo", "hi").alias("x")).first().x == [0, 5.5, 6.5, 12]
 
 
-def test_splits():
-    assert split.counts(10, [0.8, 0.1, 0.1]) == [8, 1, 1] and split.counts(3, [0.98, 0.01, 0.01]) == [1, 1, 1]
-    a, b = split.assign(list("abcdefghij"), [0.6, 0.2, 0.2], 3), split.assign(list("jihgfedcba"), [0.6, 0.2, 0.2], 3)
+def test_splits(spark):
+    cases = lambda names: spark.createDataFrame([(n,) for n in names], "case_id string")
+    count = lambda n, f: [r.high - r.low for r in split.sizes(cases([str(k) for k in range(n)]), f).orderBy("low", "high").collect()]
+    assert count(10, [0.8, 0.1, 0.1]) == [8, 1, 1] and count(3, [0.98, 0.01, 0.01]) == [1, 1, 1]
+    a, b = (split.manifest(split.split_cases(cases(names), [0.6, 0.2, 0.2], 3)) for names in ("abcdefghij", "jihgfedcba"))
     assert a == b and sorted(sum(a.values(), [])) == list("abcdefghij")
-    for n, f in ((2, [0.8, 0.1, 0.1]), (5, [0.5, 0.5]), (5, [0.9, 0.2, -0.1])):
+    order = list("abcdefghij")
+    random.Random(3).shuffle(order)
+    assert list(a.values()) == [sorted(order[:6]), sorted(order[6:8]), sorted(order[8:])]
+    for n, f in ((5, [0.5, 0.5]), (5, [0.9, 0.2, -0.1])):
         with pytest.raises(ValueError):
-            split.counts(n, f)
+            count(n, f)
+    with pytest.raises(Exception, match="too few"):
+        count(2, [0.8, 0.1, 0.1])
 
 
 def test_blocks_assemble_cells_and_faces(spark):

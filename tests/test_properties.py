@@ -1,6 +1,5 @@
 """Properties over drawn inputs: window counts, slices, splits, reflections, merging."""
 
-import math
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -31,11 +30,14 @@ def test_slices_equal_pythons(spark, n, a, b, step):
     assert sorted(r.frame for r in slicing.slice_frames(rows, slice(a, b, step)).collect()) == want
 
 
+@FEW
 @given(st.integers(40, 200), st.tuples(st.integers(1, 9), st.integers(0, 9), st.integers(0, 9)))
-def test_split_counts_fill_the_cases(n, parts):
+def test_split_sizes_fill_the_cases(spark, n, parts):
     fractions = [p / sum(parts) for p in parts]
-    sizes = split.counts(n, fractions) if math.isclose(sum(fractions), 1.0) else None
-    assert sizes is None or sum(sizes) == n and all((s > 0) == (f > 0) for s, f in zip(sizes, fractions, strict=True))
+    found = {r.split: (r.low, r.high) for r in split.sizes(spark.range(n).select(F.col("id").alias("case_id")), fractions).collect()}
+    cuts = [found[name] for name in ("train", "val", "test")]
+    assert cuts[0][0] == 0 and cuts[2][1] == n and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:], strict=False))
+    assert all((hi > lo) == (f > 0) for (lo, hi), f in zip(cuts, fractions, strict=True))
 
 
 @FEW
