@@ -79,14 +79,13 @@ GRID_SQL = """grid AS (SELECT label AS case_id, CAST(row_number() OVER (PARTITIO
 cells AS (SELECT case_id, frame, CAST(k // 8 AS INT) AS j, CAST(k % 8 AS INT) AS i, CAST(embedding[k + 1] AS DOUBLE) AS v FROM grid, range(64) t(k))"""
 STAG_SQL = """quarter AS (SELECT count(*) // 4 AS q FROM embeddings),
 parts AS (SELECT CAST(vec_id % q AS INT) AS frame, vec_id // q AS part, embedding FROM embeddings, quarter WHERE vec_id < 4 * q),
-every AS (SELECT frame, part, CAST(k // 8 AS INT) AS j, CAST(k % 8 AS INT) AS i, CAST(embedding[k + 1] AS DOUBLE) AS v FROM parts, range(64) t(k)),
-u AS (SELECT frame, j, i, v FROM every WHERE part = 0 AND j < 7),
-w AS (SELECT frame, j, i, v FROM every WHERE part = 1 AND i < 7),
+every AS MATERIALIZED (SELECT frame, part, CAST(k // 8 AS INT) AS j, CAST(k % 8 AS INT) AS i, CAST(embedding[k + 1] AS DOUBLE) AS v FROM parts, range(64) t(k)),
+u AS MATERIALIZED (SELECT frame, j, i, v, lead(v) OVER (PARTITION BY frame, j ORDER BY i) AS nx FROM every WHERE part = 0 AND j < 7),
+w AS MATERIALIZED (SELECT frame, j, i, v, lead(v) OVER (PARTITION BY frame, i ORDER BY j) AS ny FROM every WHERE part = 1 AND i < 7),
 s AS (SELECT frame, j, i, v FROM every WHERE part = 2 AND j < 7 AND i < 7),
 th AS (SELECT frame, j, i, v FROM every WHERE part = 3 AND j < 7 AND i < 7),
 cu AS (SELECT frame, j, i, v FROM u WHERE i < 7),
 cw AS (SELECT frame, j, i, v FROM w WHERE j < 7),
-div AS (SELECT a.frame, a.j, a.i, (b.v - a.v) / (2.0 / 7) + (d.v - c.v) / (2.0 / 7) AS v FROM u a JOIN u b ON b.frame = a.frame AND b.j = a.j AND b.i = a.i + 1
-  JOIN w c ON c.frame = a.frame AND c.j = a.j AND c.i = a.i JOIN w d ON d.frame = a.frame AND d.j = a.j + 1 AND d.i = a.i)"""
+div AS (SELECT u.frame, u.j, u.i, (u.nx - u.v) / (2.0 / 7) + (w.ny - w.v) / (2.0 / 7) AS v FROM u JOIN w ON w.frame = u.frame AND w.j = u.j AND w.i = u.i WHERE u.nx IS NOT NULL AND w.ny IS NOT NULL)"""
 SERIES_SQL = "series AS (SELECT user_id AS case_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS frame, epoch_us(ts) / 1e6 AS time, CAST(value AS DOUBLE) AS value FROM events)"
 FIELDS_SQL = "fields AS (SELECT l_returnflag AS case_id, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS field, unnest([l_quantity, l_extendedprice, l_discount, l_tax]::DOUBLE[]) AS value FROM lineitem)"

@@ -312,9 +312,8 @@ def divergence_cell(spark, d):
     return out_cells(stencil.cell_divergence(stencil.pair_fields(rows, "velx", "vely").join(F.broadcast(coords), "case_id")), "frame")
 
 
-@query(f"""WITH {a.STAG_SQL} SELECT p.frame, p.j, p.i, round(sqrt(pow(0.5 * (p.v + q.v), 2) + pow(0.5 * (r.v + t.v), 2)), 6) AS value, round(sqrt(pow(c.v, 2) + pow(e.v, 2)), 6) AS cell_value
-FROM u p JOIN u q ON q.frame = p.frame AND q.j = p.j AND q.i = p.i + 1 JOIN w r ON r.frame = p.frame AND r.j = p.j AND r.i = p.i JOIN w t ON t.frame = p.frame AND t.j = p.j + 1 AND t.i = p.i
-JOIN cu c ON c.frame = p.frame AND c.j = p.j AND c.i = p.i JOIN cw e ON e.frame = p.frame AND e.j = p.j AND e.i = p.i""")
+@query(f"""WITH {a.STAG_SQL} SELECT u.frame, u.j, u.i, round(sqrt(pow(0.5 * (u.v + u.nx), 2) + pow(0.5 * (w.v + w.ny), 2)), 6) AS value, round(sqrt(pow(u.v, 2) + pow(w.v, 2)), 6) AS cell_value
+FROM u JOIN w ON w.frame = u.frame AND w.j = u.j AND w.i = u.i WHERE u.nx IS NOT NULL AND w.ny IS NOT NULL""")
 def velocity_magnitude(spark, d):
     rows = a.stag_cells(spark, d)
     faces = out_cells(stencil.face_speed(stencil.pair_fields(rows, "velfacex", "velfacey")), "frame")
@@ -357,8 +356,7 @@ def heat_flux(spark, d):
 # --- stacking
 
 
-@query(f"""WITH {a.STAG_SQL} SELECT t.frame, t.j, t.i, [round(t.v, 6), round(p.v, 6), round(q.v, 6), round(r.v, 6), round(k.v, 6)] AS channels FROM th t JOIN u p USING (frame, j, i) JOIN u q ON q.frame = t.frame AND q.j = t.j AND q.i = t.i + 1
-JOIN w r ON r.frame = t.frame AND r.j = t.j AND r.i = t.i JOIN w k ON k.frame = t.frame AND k.j = t.j + 1 AND k.i = t.i""")
+@query(f"""WITH {a.STAG_SQL} SELECT t.frame, t.j, t.i, [round(t.v, 6), round(u.v, 6), round(u.nx, 6), round(w.v, 6), round(w.ny, 6)] AS channels FROM th t JOIN u ON u.frame = t.frame AND u.j = t.j AND u.i = t.i JOIN w ON w.frame = t.frame AND w.j = t.j AND w.i = t.i""")
 def stack_field_cells(spark, d):
     pairs = stencil.pair_fields(a.stag(spark, d), "temperature", "velfacex", "velfacey").withColumn("up", F.lead("velfacey").over(stencil.paired())).where("temperature IS NOT NULL")
     stacked = pairs.withColumn("vals", windows.stack_cells(["temperature"], ["velfacex"], [("velfacey", "up")]))
@@ -575,3 +573,6 @@ def frame_count_invariant(spark, d):
 def face_pair_average(spark, d):
     one = spark.range(1).select(F.array(*[F.lit(float(k)) for k in range(5)]).alias("v"))
     return one.select(F.posexplode(midpoints("v")).alias("i", "mid"))
+
+
+from gridloom.plans import more  # noqa: E402, F401  registers its queries here

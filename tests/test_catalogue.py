@@ -8,7 +8,7 @@ import pytest
 from gridloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("events", "embeddings", "lineitem")
+TABLES = ("region", "nation", "customer", "orders", "events", "embeddings", "lineitem")
 
 
 def norm(v):
