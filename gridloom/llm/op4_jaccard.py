@@ -15,8 +15,9 @@ A document's set is its distinct 5-word shingles (64-bit ids). Equal sets are on
    candidate if they meet in many buckets; its bound is checked, then its sets; links merge classes into components.
 5. Buckets that still hold several components of fitting sizes get an R-tree: points sorted by size and packed into
    leaves of LEAF with bounding boxes, boxes packed FAN at a time into the boxes above, up to one root; from the root
-   down, boxes, then points, are paired if the bound of minima allows a link and their components differ. Second round: of all such pairs of a bucket the forest with the highest bounds is verified and merged, so a
-   group of near copies costs a forest, not all its pairs. Third round: every such pair lies in a cluster that the
+   down, boxes, then points, are paired if the bound of minima allows a link and their components differ; the trees of
+   one leaf, most of them, are paired together. Second round: of all such pairs of a bucket the forest with the highest
+   bounds is verified and merged, so a group of near copies costs a forest, not all its pairs. Third round: every such pair lies in a cluster that the
    forests' edges connect; clusters that still hold several components are searched once, in tiles, and every pair whose
    components still differ is verified with whole sets. Links inside a component can't change it, so none is lost.
 
@@ -369,31 +370,79 @@ def forest_roots(n: int, root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return root
 
 
-def _buckets(t: pa.Table):
-    """(ids, sizes, components, points) of each shingle in a sorted slice."""
-    key, ids, n, comp = (t.column(c).to_numpy() for c in ("key", "id", "n", "comp"))
-    blobs = t.column("blob").to_pylist()
-    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    for lo, hi in zip(start, np.append(start[1:], len(key)), strict=True):
-        yield key[lo], ids[lo:hi], n[lo:hi], comp[lo:hi], [unpacked(x) for x in blobs[lo:hi]]
+def _bucket(t: pa.Table, lo: int, hi: int):
+    """(ids, sizes, components, points) of the rows of one shingle in a sorted slice."""
+    ids, n, comp = (t.column(c)[lo:hi].to_numpy() for c in ("id", "n", "comp"))
+    return ids, n, comp, [unpacked(x) for x in t.column("blob")[lo:hi].to_pylist()]
+
+
+def _grouped(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Each point's number of groups and its row among the points of that number, and those points by number."""
+    groups = np.array([2 * len(x) for x in blobs], dtype=np.int64)
+    row, points = np.zeros(len(blobs), dtype=np.int64), {}
+    for g in np.unique(groups).tolist():
+        own = np.flatnonzero(groups == g)
+        row[own] = np.arange(len(own))
+        packed = np.frombuffer(b"".join(blobs[x] for x in own), dtype=np.uint8).reshape(len(own), -1)
+        points[g] = np.concatenate([packed & 15, packed >> 4], axis=1)
+    return groups, row, points
+
+
+def leaf_links(bucket: np.ndarray, n: np.ndarray, comp: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, score): row pairs of different components of one bucket whose points allow a link, for buckets of at most
+    LEAF points, sorted by bucket. Such a tree is a single leaf, so all of a slice are paired point by point at once."""
+    groups, row, points = _grouped(blobs)
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for step in range(1, LEAF):
+        i = np.flatnonzero(bucket[step:] == bucket[:-step])
+        if not len(i):
+            break
+        j = i + step
+        ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+        found.append(np.column_stack([i[ok], j[ok]]))
+    a, b = np.concatenate(found).T
+    a, b = np.where(groups[a] <= groups[b], a, b), np.where(groups[a] <= groups[b], b, a)
+    overlap = np.zeros(len(a), dtype=np.int64)
+    for g, far in np.unique(np.column_stack([groups[a], groups[b]]), axis=0).tolist():
+        at = np.flatnonzero((groups[a] == g) & (groups[b] == far))
+        step = max(1, (2 << 20) // far)
+        for part in (at[lo : lo + step] for lo in range(0, len(at), step)):
+            right = fold(points[far][row[b[part]]].astype(np.int16), g)
+            overlap[part] = np.minimum(points[g][row[a[part]]], right).sum(axis=1, dtype=np.int64)
+    total = n[a] + n[b]
+    ok = 7 * overlap >= 3 * total
+    return a[ok], b[ok], overlap[ok] / total[ok]
+
+
+def _tree_links(n: np.ndarray, comp: np.ndarray, points: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The best-bounded forest of the possible links of one bucket."""
+    kept, waiting = [np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)], []
+    for found in tree_pairs(points, n, comp):
+        waiting.append(found)
+        if sum(len(w[0]) for w in waiting) > WAITING:
+            kept, waiting = _best(len(n), kept, waiting), []
+    a, b, _ = _best(len(n), kept, waiting)
+    return a, b
 
 
 def _chains(batches):
     """The best-bounded forest of each bucket's possible links."""
     for t in _slices(batches, "key"):
+        key = t.column("key").to_numpy()
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
         out = []
-        for _, ids, n, comp, points in _buckets(t):
-            kept, waiting = [np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0)], []
-            for found in tree_pairs(points, n, comp):
-                waiting.append(found)
-                if sum(len(w[0]) for w in waiting) > WAITING:
-                    kept, waiting = _best(len(ids), kept, waiting), []
-            a, b, _ = _best(len(ids), kept, waiting)
-            if len(a):
-                out.append(np.sort(np.column_stack([ids[a], ids[b]]), axis=1))
-        if out:
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        for lo, m in zip(start[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+            ids, n, comp, points = _bucket(t, lo, lo + m)
+            a, b = _tree_links(n, comp, points)
+            out.append(np.column_stack([ids[a], ids[b]]))
+        small = t.filter(pa.array(np.repeat(size <= LEAF, size)))
+        key, ids, n, comp = (small.column(c).to_numpy() for c in ("key", "id", "n", "comp"))
+        a, b, score = leaf_links(key, n, comp, small.column("blob").to_pylist())
+        taken = best_forest(len(ids), a, b, score)  # buckets share no row, so it is a forest of each
+        out.append(np.column_stack([ids[a[taken]], ids[b[taken]]]))
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
 def _best(n: int, kept: list, waiting: list) -> list:

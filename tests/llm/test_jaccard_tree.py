@@ -40,6 +40,34 @@ def test_op4_tree_prunes_boxes():
     assert len(tree.levels[-1][0]) == 1 and len(list(op4._leaf_pairs(tree, tree))) < len(tree.levels[0][0]) * (len(tree.levels[0][0]) + 1) / 2
 
 
+def test_op4_leaves_of_a_slice_at_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    all_sets = [s for _ in range(40) for s in sets(rng, int(rng.integers(1, op4.LEAF // 2)))]
+    all_sets = [all_sets[k] for k in rng.permutation(len(all_sets))]
+    n, blobs = np.array([len(s) for s in all_sets]), [op4.point(s) for s in all_sets]
+    comp, bucket = rng.integers(0, 400, len(n)), np.sort(rng.integers(0, len(n) // 8, len(n)))
+    assert np.bincount(bucket).max() <= op4.LEAF
+    # copies of some sets, in the same bucket, so that every kind of pair occurs
+    for k in np.flatnonzero(bucket[1:] == bucket[:-1])[::3]:
+        n[k + 1], blobs[k + 1] = n[k], blobs[k]
+    a, b, score = op4.leaf_links(bucket, n, comp, blobs)
+    got = {(min(x, y), max(x, y)): s for x, y, s in zip(a.tolist(), b.tolist(), score.tolist(), strict=True)}
+    want = {}
+    for k in np.unique(bucket):
+        own = np.flatnonzero(bucket == k)
+        for x, y, s in op4.tree_pairs([op4.unpacked(blobs[r]) for r in own], n[own], comp[own]):
+            want |= {(int(min(own[i], own[j])), int(max(own[i], own[j]))): v for i, j, v in zip(x, y, s, strict=True)}
+    assert len(a) == len(got) and got == pytest.approx(want) and len(want) > 20
+    empty = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in op4.leaf_links(empty, empty, empty, [])] == [0, 0, 0]
+    # leaves and taller trees give the same components
+    t = pa.table({"key": bucket, "id": np.arange(len(n)), "n": n, "comp": comp, "blob": blobs})
+    joined = lambda: brute.components(range(len(n)), [(a, b) for x in op4._chains(t.to_batches(50)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)])
+    whole = joined()
+    monkeypatch.setattr(op4, "LEAF", 4)
+    assert joined() == whole
+
+
 def test_op4_tiles_of_several_blocks(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(300)]
