@@ -27,6 +27,8 @@ CHUNK_BYTES = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Keys are hot that hold more than one of HOT_KEYS parts of all rows: fewer than HOT_KEYS keys, however many rows.
 HOT_KEYS = 1000
+#: Rows of a file, and files at least, of a narrow scratch table of known length.
+FILE_ROWS, FEWEST = 10_000, 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def table(df: DataFrame, *partition_by: str) -> DataFrame:
+def table(df: DataFrame, *partition_by: str, rows: int | None = None) -> DataFrame:
     """df written as Parquet into the shared folder and read back: a lineage cut that survives lost executors. The shuffle
-    files of the writing go with it."""
+    files of the writing go with it. rows: of a narrow table, if known, how many there are at most; then one task writes
+    each FILE_ROWS of them (FEWEST files at least), however many shuffle partitions there are."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(FEWEST, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     before = spark.conf.get(_CLEANUP, None)

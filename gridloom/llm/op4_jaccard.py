@@ -474,7 +474,7 @@ def _left_pairs(docs: DataFrame, chains: DataFrame, comp: DataFrame, classes: Da
     at = table(at.select("id", "cluster", F.coalesce("component", "id").alias("comp")))
     sizes = at.groupBy("cluster").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cluster", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     rows = table(at.join(sizes, "cluster").join(classes.select("id", "n"), "id"))
-    fine = _from_texts(docs, rows.select("id"), firsts, lambda s: point(s, fine=True))
+    fine = _from_texts(docs, rows.select("id"), rows.count(), firsts, lambda s: point(s, fine=True))
     rows = rows.join(fine, "id").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) AS int)"))
     tiles = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("ta", F.least("block", "other")).withColumn("tb", F.greatest("block", "other"))
     return tiles.select("cluster", "ta", "tb", "id", "n", "comp", "block", "blob").groupBy("cluster", "ta", "tb").applyInArrow(_tile, "a long, b long")
@@ -497,10 +497,10 @@ def _bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_arrow(both.select("a", "b", "na", "nb", "va", "vb"), run, "a long, b long")
 
 
-def _from_texts(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, make) -> DataFrame:
-    """(id, blob): make(set) of the wanted classes, from the texts of their first documents."""
+def _from_texts(docs: DataFrame, wanted: DataFrame, at_most: int, firsts: DataFrame, make) -> DataFrame:
+    """(id, blob): make(set) of the wanted classes, at_most of them, from the texts of their first documents."""
     first = firsts.join(wanted.withColumnRenamed("id", "h1"), "h1", "left_semi")
-    texts = join_checked(text_only(docs), table(first.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = join_checked(text_only(docs), table(first.select("doc_id").distinct(), rows=at_most), "doc_id", "left_semi")
 
     def run(batches):
         for b in batches:
@@ -516,7 +516,7 @@ def _from_texts(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, make) ->
 def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs that link, by the whole sets of their classes."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _from_texts(docs, ends, firsts, lambda s: s.tobytes())
+    sets = _from_texts(docs, ends, 2 * pairs.count(), firsts, lambda s: s.tobytes())
     side = lambda s: sets.select(F.col("id").alias(s), F.col("blob").alias(f"s{s}"))
 
     def run(batches):
