@@ -40,7 +40,7 @@ K, LEAST_GROUPS, LEAF, FAN = 5, 64, 32, 8
 HOT_PART = 1000
 #: Stars of the first round meet in at least one of STAR_PART of the larger set's shingles: it only has to find most links.
 STAR_PART = 12
-BLOCK = 2048
+BLOCK = 512
 #: Buckets of packed pairs for each partition: a task holds one of them at a time.
 FINE = 8
 #: Possible links of a bucket that wait before they shrink to their forest.
