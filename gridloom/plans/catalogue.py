@@ -42,6 +42,12 @@ def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
+def r6_signed(v) -> Column:
+    """round(v, 6) as in SQL, where what rounds to zero keeps its sign: for values in arrays, which are compared as they are."""
+    rounded = F.round(v, 6)
+    return F.when(rounded == 0, F.signum(v) * F.lit(0.0)).otherwise(rounded)
+
+
 def out_cells(rows: DataFrame, *keep: str, column: str = "vals", name: str = "value") -> DataFrame:
     """Lines -> (keep..., j, i, value) rounded."""
     return rows.select(*keep, F.col("j").cast("int").alias("j"), F.posexplode(column).alias("i", name)).withColumn(name, r6(name))
@@ -360,7 +366,7 @@ def heat_flux(spark, d):
 def stack_field_cells(spark, d):
     pairs = stencil.pair_fields(a.stag(spark, d), "temperature", "velfacex", "velfacey").withColumn("up", F.lead("velfacey").over(stencil.paired())).where("temperature IS NOT NULL")
     stacked = pairs.withColumn("vals", windows.stack_cells(["temperature"], ["velfacex"], [("velfacey", "up")]))
-    return stacked.select("frame", F.col("j").cast("int").alias("j"), F.posexplode("vals").alias("i", "channels")).withColumn("channels", F.transform("channels", lambda v: F.round(v, 6) + F.lit(0.0)))
+    return stacked.select("frame", F.col("j").cast("int").alias("j"), F.posexplode("vals").alias("i", "channels")).withColumn("channels", F.transform("channels", r6_signed))
 
 
 @query(f"""WITH {a.STAG_SQL}, f AS (SELECT frame, j, 0 AS i, v AS x FROM cu WHERE i = 0 UNION ALL SELECT p.frame, p.j, p.i, 0.5 * (p.v + q.v) FROM cu p JOIN cw q ON q.frame = p.frame AND q.j = p.j AND q.i = p.i - 1
@@ -490,7 +496,7 @@ SELECT window_id, k.case_id, list(round(value, 6) ORDER BY frame) FILTER (frame
 
 def _samples(spark, d, n_in, n_target, unroll, stride):
     index = windows.window_index(_series_cases(spark, d), n_in, n_target, unroll, stride)
-    values = a.series(spark, d).withColumn("value", r6("value"))
+    values = a.series(spark, d).withColumn("value", r6_signed("value"))
     return windows.window_samples(index, values, n_in, n_target, unroll)
 
 

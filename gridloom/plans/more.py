@@ -12,7 +12,7 @@ from gridloom.functions import config as cfg
 from gridloom.functions.fixed import HEATER_SHARED_KEYS, SPLITS
 from gridloom.operators import augment, blocks, checks, dmd, grid, normalize, slicing, split, statistics, stencil, symmetry, windows
 from gridloom.plans import adapters as a
-from gridloom.plans.catalogue import _REC, _record, _samples, _samples_sql, _stag_grid, out_cells, query, r6
+from gridloom.plans.catalogue import _REC, _record, _samples, _samples_sql, _stag_grid, out_cells, query, r6, r6_signed
 from gridloom.session import scratch_dir, ship_package
 from gridloom.sources import tables, texts
 
@@ -386,7 +386,7 @@ def relative_frobenius_error(spark, d):
 @query(f"WITH {a.STAG_SQL} SELECT t.frame, t.j, t.i, [round(t.v, 6), round(p.v, 6)] AS channels FROM th t JOIN s p USING (frame, j, i)")
 def stack_cell_fields(spark, d):
     pairs = stencil.pair_fields(a.stag(spark, d), "temperature", "dfun").withColumn("vals", windows.stack_cells(["temperature", "dfun"]))
-    return pairs.select("frame", F.col("j").cast("int").alias("j"), F.posexplode("vals").alias("i", "channels")).withColumn("channels", F.transform("channels", lambda v: F.round(v, 6) + F.lit(0.0)))
+    return pairs.select("frame", F.col("j").cast("int").alias("j"), F.posexplode("vals").alias("i", "channels")).withColumn("channels", F.transform("channels", r6_signed))
 
 
 @query("""SELECT o_custkey AS case_id, o_orderkey AS heater, [-x, x]::DOUBLE[] AS nuc_sites_x FROM (SELECT *, o_totalprice / 1000 AS x FROM orders)""")
