@@ -43,9 +43,15 @@ def window_frames(windows: DataFrame, n_input: int, n_target: int, unroll: int =
     return windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("offset")).withColumn("frame", F.col("start") + F.col("offset")).withColumn("part", F.when(F.col("offset") < n_input, "input").otherwise("target"))
 
 
+def _met(frames: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of (case_id, frame, ...) at the frames of windows. Both sides shuffle: Spark takes an unnested table for as small
+    as it was before, one row a case here, and would broadcast it at any size."""
+    return frames.hint("merge").join(rows, ["case_id", "frame"])
+
+
 def window_samples(windows: DataFrame, values: DataFrame, n_input: int, n_target: int, unroll: int = 1) -> DataFrame:
     """(window_id, case_id, input, target): each window's frames of (case_id, frame, value), in order."""
-    joined = window_frames(windows, n_input, n_target, unroll).join(values, ["case_id", "frame"])
+    joined = _met(window_frames(windows, n_input, n_target, unroll), values)
     ordered = lambda part: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("offset", "value")))), lambda s: s["value"])
     return joined.groupBy("window_id", "case_id").agg(ordered("input").alias("input"), ordered("target").alias("target"))
 
@@ -53,7 +59,7 @@ def window_samples(windows: DataFrame, values: DataFrame, n_input: int, n_target
 def window_rows(windows: DataFrame, rows: DataFrame, n_input: int, n_target: int, unroll: int = 1) -> DataFrame:
     """Field lines of every window: (window_id, part, field, frame as offset in its part, j, vals)."""
     at = window_frames(windows, n_input, n_target, unroll)
-    out = at.join(rows, ["case_id", "frame"])
+    out = _met(at, rows)
     return out.withColumn("frame", F.when(F.col("part") == "input", F.col("offset")).otherwise(F.col("offset") - n_input)).drop("offset", "start")
 
 
