@@ -12,7 +12,7 @@ from gridloom.functions import config as cfg
 from gridloom.functions.fixed import HEATER_SHARED_KEYS, SPLITS
 from gridloom.operators import augment, blocks, checks, dmd, grid, normalize, slicing, split, statistics, stencil, symmetry, windows
 from gridloom.plans import adapters as a
-from gridloom.plans.catalogue import _REC, _record, _samples, _samples_sql, _stag_grid, out_cells, query, r6, r6_signed
+from gridloom.plans.catalogue import _REC, _record, _samples, _samples_sql, _series_cases, _stag_grid, out_cells, query, r6, r6_signed
 from gridloom.session import scratch_dir, ship_package
 from gridloom.sources import tables, texts
 
@@ -265,7 +265,7 @@ def incomplete_frames(spark, d):
 @query(f"SELECT window_id, 40 + case_id % 7 AS bulk_temp FROM ({_samples_sql(6, 4, 5)})")
 def samples_with_config(spark, d):
     s = _samples(spark, d, 4, 2, 1, 5)
-    config = s.select("case_id").distinct().withColumn("bulk_temp", F.col("case_id") % 7 + 40)
+    config = _series_cases(spark, d).select("case_id", (F.col("case_id") % 7 + 40).alias("bulk_temp"))
     return s.join(config, "case_id").select("window_id", "bulk_temp")
 
 

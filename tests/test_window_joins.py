@@ -23,3 +23,16 @@ def test_windows_of_long_cases_are_not_broadcast(spark):
     rows, plan = ran(windows.window_rows(index, lines, 2, 2, 3))
     assert len(rows) == 8 * 3 * ((500 - 8) // 4 + 1)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_configurations_meet_samples_without_assembling_them_twice(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from gridloom.plans import catalogue, more  # noqa: F401
+
+    n = 4000
+    pq.write_table(pa.table({"event_id": range(n), "ts": pa.array([k * 10**6 for k in range(n)], pa.timestamp("us")), "user_id": [k % 2 for k in range(n)], "value": [0.5] * n}), tmp_path / "events.parquet")
+    rows, plan = ran(catalogue.queries()["samples_with_config"](spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == [(k, 40 + k // 399) for k in range(2 * 399)]  # (2000 - 6) // 5 + 1 windows a case
+    assert sum("Generate explode" in line and "[offset#" in line for line in plan.splitlines()) == 1
