@@ -1,7 +1,7 @@
 """Line dedup by distinct-site spread: cross-site boilerplate lines go, the rest of each document stays.
 
 1. Lines (between newlines, trimmed of white space at both ends, not empty) are hashed; one aggregation finds the
-   line hashes seen at more than one site (its least and greatest site differ), combining within each task first.
+   line hashes seen at more than one site (its least and greatest site hash differ), combining within each task first.
 2. All occurrences of those go into HyperLogLog sketches of their sites, one a line hash, built within each task and
    merged by aggregation.
 3. A line spreads if the sketch's lower bound reaches min_sites, and doesn't if its upper bound stays below (three
@@ -22,35 +22,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop, join_hot, table
+from gridloom.llm.common import FEWEST, drop, join_hot, table
 
 MIN_SITES = 5
 LG_K = 11
 #: Three relative standard errors of an estimate with 2**11 registers (1.04 / sqrt(2**11) each).
 MARGIN = 3 * 1.04 / (2**LG_K) ** 0.5
-
-_LINES = "transform(split(text, '\\n', -1), x -> trim(BOTH ' \\t\\r' FROM x))"
+#: Pairs of a line and a site (16 bytes each) in a file of the scratch table of occurrences.
+FILE_PAIRS = 100_000
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """(doc_id, whole, site, pos, h, size): hashed non-empty lines; whole tells the texts of a doc_id apart."""
-    of = F.expr(f"transform({_LINES}, x -> CASE WHEN x <> '' THEN struct(xxhash64(x) AS h, length(x) AS size) END)")
-    lines = docs.select("doc_id", F.xxhash64("text").alias("whole"), F.coalesce("source", F.lit("\u0000")).alias("site"), F.posexplode(of).alias("pos", "x"))
-    return lines.where("x IS NOT NULL").select("doc_id", "whole", "site", "pos", "x.h", "x.size")
+    """(doc_id, whole, site, pos, h, size): hashed non-empty lines and sites; whole tells the texts of a doc_id apart."""
+    site = F.xxhash64(F.coalesce("source", F.lit("\u0000"))).alias("site")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("whole"), site, F.posexplode(F.expr("split(text, '\\n', -1)")).alias("pos", "x"))
+    lines = lines.select("doc_id", "whole", "site", "pos", F.expr("trim(BOTH ' \\t\\r' FROM x)").alias("x")).where("x <> ''")
+    return lines.select("doc_id", "whole", "site", "pos", F.xxhash64("x").alias("h"), F.length("x").alias("size"))
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h, sites, n): the hashes of the lines that stand at min_sites sites or more, and how often; sites may be an estimate."""
     lines = _exploded(docs).select("h", "site")
     many = table(lines.groupBy("h").agg(F.min("site").alias("lo"), F.max("site").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n"))
-    several = table(join_hot(lines, many, "h", "n").select("h", "site"))
+    most, all_of = many.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    several = table(join_hot(lines, many, "h", "n").select("h", "site").repartition(max(FEWEST, -(-all_of // FILE_PAIRS))))
     sketched = several.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.count("*").alias("n"))
-    sketched = table(sketched.select("h", F.hll_sketch_estimate("sketch").alias("sites"), "n"))
+    sketched = table(sketched.select("h", F.hll_sketch_estimate("sketch").alias("sites"), "n"), rows=most)
     sure = sketched.where(F.col("sites") * (1 - MARGIN) >= min_sites)
-    near = table(sketched.where((F.col("sites") * (1 - MARGIN) < min_sites) & (F.ceil(F.col("sites") * (1 + MARGIN)) >= min_sites)).select("h", "n"))
+    near = sketched.where((F.col("sites") * (1 - MARGIN) < min_sites) & (F.ceil(F.col("sites") * (1 + MARGIN)) >= min_sites)).select("h", "n")
     exact = join_hot(several, near, "h", "n").distinct().groupBy("h", "n").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    out = table(sure.unionByName(exact))
-    drop(many, several, sketched, near)
+    out = table(sure.unionByName(exact), rows=most)
+    drop(many, several, sketched)
     return out
 
 
